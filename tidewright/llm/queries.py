@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .counts import token_counts
 from .simhash import simhash_components
+from .store import token_store
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +24,14 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), lower=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op5_token_counts": op5_token_counts,
+    "op9_token_store": op9_token_store,
 }
 
 ORACLE_SQL: dict[str, str] = {}
