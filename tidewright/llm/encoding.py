@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
-from itertools import chain
 
 import numpy as np
 
@@ -44,6 +44,16 @@ def count_tokens(path: str, texts: list[str]) -> list[int]:
 
 #: A stop between an ASCII letter or digit and white space is a piece of its own.
 _STOP = re.compile(rb"[.,](?<=[A-Za-z0-9][.,])(?=[\x20\x09-\x0D])")
+#: Only a to z and the small letters of Latin-1.
+_SMALL = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
+#: How byte-level tokenizers spell bytes: visible Latin-1 as itself, the others from U+0100 on.
+_SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SPELLED = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)} | {0x20: 0x20}
+
+
+class _Slots(dict):
+    def __missing__(self, word: bytes) -> int:
+        return -1
 
 
 class WordEncoder:
@@ -57,11 +67,12 @@ class WordEncoder:
 
     def __init__(self, path: str, lower: bool = False, words: int = 600_000, ids: int = 4_000_000):
         self.made, self.lower, self.words, self.ids = load(path), lower, words, ids
+        self.bare = self._bare(path)
         self.special = [x.content.encode() for x in self.made.get_added_tokens_decoder().values()]
         self._empty()
 
     def _empty(self) -> None:
-        self.slot: dict[bytes, int] = {}
+        self.slot = _Slots()
         self.pool = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -77,41 +88,69 @@ class WordEncoder:
         self.slot.update(zip(words, range(k, k + len(words)), strict=True))
         self.used = n
 
+    def _bare(self, path: str):
+        """The same library and model without the steps that leave small Latin letters as they are.
+
+        Words of those letters alone are not changed by NFC or lower-casing, have no white space
+        inside and are one piece for any pattern that takes runs of letters; their bytes are spelled
+        out by _SPELLED. Needs a model that marks the last token of a piece. A sample is compared
+        with the whole tokenizer, and where it differs only that is used.
+        """
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        suffix = json.loads(self.made.to_str())["model"].get("end_of_word_suffix")
+        if not suffix:
+            return None
+        bare = Tokenizer.from_file(path)
+        bare.normalizer, bare.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        self.last = np.zeros(bare.get_vocab_size(), bool)
+        self.last[[i for t, i in bare.get_vocab().items() if t.endswith(suffix)]] = True
+        sample = "a the thnti heitöpf éauxtion ß ÿ ståmenteleouieraux zzzzqqqxjk"
+        want = self.made.encode(sample, add_special_tokens=False).ids
+        return bare if want == bare.encode(sample.encode().decode("latin-1").translate(_SPELLED), add_special_tokens=False).ids else None
+
     def _learn(self, new: list[bytes]) -> None:
-        """Words of letters only are one piece each: many are encoded in one call and told apart by piece."""
-        plain, other = [], []
-        for w in new:
-            (plain if w.decode().isalpha() else other).append(w)
+        """Many words are encoded in one call, parted by spaces, and told apart by last tokens or by offsets."""
+        plain, other = [], new
+        if self.bare:
+            plain, other = [], []
+            for w in sorted(new, key=bytes.isascii):  # ASCII ones together
+                (plain if _SMALL(w.decode()) else other).append(w)
         for at in range(0, len(plain), 8192):
             part = plain[at : at + 8192]
-            got = self.made.encode(b" ".join(part).decode(), add_special_tokens=False)
-            piece = np.array(got.word_ids, np.int64)
-            lens = np.bincount(piece, minlength=len(part))
-            if len(lens) == len(part) and lens.all():
-                self._keep(part, np.array(got.ids, np.uint32), lens)
+            text = (joined := b" ".join(part)).decode("latin-1")
+            ids = np.array(self.bare.encode_batch_fast([text if joined.isascii() else text.translate(_SPELLED)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(part):
+                self._keep(part, ids, np.diff(np.r_[0, ends]))
             else:
                 other += part
-        for at in range(0, len(other), 4096):
-            part = other[at : at + 4096]
-            ids = [x.ids for x in self.made.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)]
-            lens = np.fromiter(map(len, ids), np.int64, len(ids))
-            self._keep(part, np.fromiter(chain.from_iterable(ids), np.uint32, int(lens.sum())), lens)
+        for at in range(0, len(other), 8192):
+            part = other[at : at + 8192]
+            texts = [w.decode() for w in part]
+            got = self.made.encode(" ".join(texts), add_special_tokens=False)
+            starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+            of = np.searchsorted(starts, np.array([a for a, _ in got.offsets], np.int64), "right") - 1
+            self._keep(part, np.array(got.ids, np.uint32), np.bincount(of, minlength=len(part)))
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has."""
         words: list[bytes] = []
         ends = np.zeros(len(texts) + 1, np.int64)
         for i, text in enumerate(texts):
-            if self.lower and not any(x in (low := text.lower()) for x in self.special):
-                text = low
-            text = _STOP.sub(rb" \g<0>", text)
-            words += text.split()  # ASCII white space; any other is left to the library
+            if self.lower:
+                low = text.lower()
+                if b"<" not in low or not any(x in low for x in self.special):
+                    text = low
+            words += _STOP.sub(rb" \g<0>", text).split()  # ASCII white space; any other is left to the library
             ends[i + 1] = len(words)
         if len(self.slot) > self.words or self.used > self.ids:
             self._empty()
-        if new := set(words).difference(self.slot):
-            self._learn(list(new))
         at = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        if len(unknown := np.flatnonzero(at < 0)):
+            missing = [words[i] for i in unknown.tolist()]
+            self._learn(list(set(missing)))
+            at[unknown] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
         first = self.start[at]
         lens = self.start[at + 1] - first
         after = np.r_[0, np.cumsum(lens)]
