@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .counts import token_counts
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_sizes
+from .repeats import repeat_digests
 from .secrets import secret_digests
 from .simhash import simhash_components
 from .store import token_store
@@ -39,12 +40,17 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), lower=True)
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op6_secret_spans": op6_secret_spans,
     "op9_token_store": op9_token_store,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {
