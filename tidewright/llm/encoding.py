@@ -59,13 +59,14 @@ class _Slots(dict):
 class WordEncoder:
     """Ids of texts by a tokenizer that drops white space and never joins what white space parts.
 
-    Each different word is encoded by the library once and kept; the store is emptied when it holds
-    more than words words or ids ids, so its memory is bounded. With lower (for tokenizers that
+    Each different word is encoded by the library once and kept. When the store holds more than
+    words words or ids ids, only words that were met again stay, or none if those are too many, so
+    its memory is bounded. With lower (for tokenizers that
     lower-case anyway) ASCII letters are lower-cased beforehand, except in texts that may hold a
     special token's string.
     """
 
-    def __init__(self, path: str, lower: bool = False, words: int = 600_000, ids: int = 4_000_000):
+    def __init__(self, path: str, lower: bool = False, words: int = 800_000, ids: int = 5_000_000):
         self.made, self.lower, self.words, self.ids = load(path), lower, words, ids
         self.bare = self._bare(path)
         self.special = [x.content.encode() for x in self.made.get_added_tokens_decoder().values()]
@@ -75,16 +76,29 @@ class WordEncoder:
         self.slot = _Slots()
         self.pool = np.empty(1 << 16, np.uint32)
         self.start = np.zeros(1 << 14, np.int64)
+        self.again = np.zeros(1 << 14, bool)
         self.used = 0
 
+    def _thin(self) -> None:
+        stay = np.flatnonzero(self.again[: len(self.slot)])
+        if 2 * len(stay) > self.words:
+            return self._empty()
+        words, first = list(self.slot), self.start[stay]
+        lens = self.start[stay + 1] - first
+        ids = self.pool[np.repeat(first - np.r_[0, np.cumsum(lens)[:-1]], lens) + np.arange(lens.sum())]
+        self._empty()
+        self._keep([words[i] for i in stay.tolist()], ids, lens)
+
     def _keep(self, words: list[bytes], ids: np.ndarray, lens: np.ndarray) -> None:
         n, k = self.used + len(ids), len(self.slot)
         if n > len(self.pool):
             self.pool = np.resize(self.pool, 2 * n)
         if k + len(words) + 1 > len(self.start):
             self.start = np.resize(self.start, 2 * (k + len(words) + 1))
+            self.again = np.resize(self.again, len(self.start))
         self.pool[self.used : n] = ids
         self.start[k + 1 : k + len(words) + 1] = self.used + np.cumsum(lens)
+        self.again[k : k + len(words)] = False
         self.slot.update(zip(words, range(k, k + len(words)), strict=True))
         self.used = n
 
@@ -145,9 +159,11 @@ class WordEncoder:
             words += _STOP.sub(rb" \g<0>", text).split()  # ASCII white space; any other is left to the library
             ends[i + 1] = len(words)
         if len(self.slot) > self.words or self.used > self.ids:
-            self._empty()
+            self._thin()
         at = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        if len(unknown := np.flatnonzero(at < 0)):
+        unknown = np.flatnonzero(at < 0)
+        self.again[at[at >= 0]] = True
+        if len(unknown):
             missing = [words[i] for i in unknown.tolist()]
             self._learn(list(set(missing)))
             at[unknown] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
