@@ -12,6 +12,7 @@ from .lines import SQL as LINES_SQL
 from .lines import line_digests
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_sizes
+from .nearest import nearest
 from .repeats import repeat_digests
 from .secrets import secret_digests
 from .simhash import simhash_components
@@ -22,6 +23,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return nearest(table, table.where("vec_id % 50 = 0"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_documents(spark, sf_dir))
 
@@ -51,6 +57,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_nearest": op1_nearest,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
     "op4_mix_sources": op4_mix_sources,
