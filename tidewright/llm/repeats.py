@@ -33,7 +33,7 @@ _SLICES = 4
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.compress(pickle.dumps(arrays, 5), 1)
+    return zstandard.compress(pickle.dumps(arrays, 5), 3)
 
 
 def unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -176,7 +176,8 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
     """doc_id, th, text, windows -> the bytes of all windows of each shared anchor, to the anchor's task."""
-    n = _SLICES * width
+    task = TaskContext.get()
+    group = (task.partitionId() if task else 0) << 32
     for batch in batches:
         data, ends = flat(batch.column(2))
         firsts, counts, of = [], [], []
@@ -187,12 +188,12 @@ def _contexts(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Ite
             continue
         first, count, of = np.concatenate(firsts), np.concatenate(counts), np.concatenate(of)
         at = ends[of] + first
-        key = _anchor_keys(data, at, count, length) % np.uint64(n)
+        key = _anchor_keys(data, at, count, length) % np.uint64(width)
         order = np.argsort(key, kind="stable")
-        cut = np.searchsorted(key[order], np.arange(n + 1, dtype=np.uint64))
-        doc_id, th = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy()
-        keys, blobs = [], []
-        for k in range(n):
+        cut = np.searchsorted(key[order], np.arange(width + 1, dtype=np.uint64))
+        doc_id = batch.column(0).to_numpy(zero_copy_only=False)
+        keys, blobs = [-1 - group], [pack(doc_id, batch.column(1).to_numpy())]
+        for k in range(width):
             own = order[cut[k] : cut[k + 1]]
             if not len(own):
                 continue
@@ -200,8 +201,9 @@ def _contexts(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Ite
             upto = np.r_[0, np.cumsum(size)]
             text = data[np.repeat(at[own] - upto[:-1], size) + np.arange(upto[-1])]
             there, local = np.unique(of[own], return_inverse=True)
-            keys.append(k), blobs.append(pack(text, smallest(first[own]), smallest(count[own]), smallest(local), doc_id[there], th[there]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+            keys.append(k), blobs.append(pack(text, smallest(first[own]), smallest(count[own]), smallest(local), smallest(there), doc_id[there]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(np.full(len(keys), group)), pa.array(blobs, pa.binary())], ["key", "grp", "blob"])
+        group += 1
 
 
 def _grams(data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -232,19 +234,22 @@ def _anchor_keys(data: np.ndarray, at: np.ndarray, count: np.ndarray, length: in
     return out
 
 
-def _earlier(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
-    """Contexts of whole anchors -> for each part of the documents the windows that a smaller one has."""
-    text, first, count, of, doc_ids, ths, n_docs = [], [], [], [], [], [], 0
+def _earlier(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Contexts of whole anchors -> for each batch the windows that a smaller document has; lists of documents pass."""
+    text, first, count, of, doc_ids, rows, groups, n_docs = [], [], [], [], [], [], [], 0
     for batch in batches:
-        for blob in batch.column(1).to_pylist():
-            t, f, c, local, d, h = unpack(blob)
-            text.append(t), first.append(f.astype(np.int64)), count.append(c.astype(np.int64)), of.append(local.astype(np.int64) + n_docs)
-            doc_ids.append(d.astype(np.int64)), ths.append(h)
-            n_docs += len(d)
+        key = batch.column(0).to_numpy()
+        yield batch.filter(pa.array(key < 0))
+        for k, g, blob in zip(key.tolist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if k >= 0:
+                t, f, c, local, there, d = unpack(blob)
+                text.append(t), first.append(f.astype(np.int64)), count.append(c.astype(np.int64)), of.append(local.astype(np.int64) + n_docs)
+                doc_ids.append(d.astype(np.int64)), rows.append(there.astype(np.int64)), groups.append(np.full(len(d), g))
+                n_docs += len(d)
     if not text:
         return
     text, first, count, of = np.concatenate(text), np.concatenate(first), np.concatenate(count), np.concatenate(of)
-    doc_ids, ths = np.concatenate(doc_ids), np.concatenate(ths)
+    doc_ids, rows, groups = np.concatenate(doc_ids), np.concatenate(rows), np.concatenate(groups)
     doc = doc_ids[of]
     ends = np.r_[0, np.cumsum(count + length - 1)]
     raw = text.tobytes()
@@ -279,23 +284,18 @@ def _earlier(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iter
     at = np.flatnonzero(hit[np.repeat(hit_at[cls[firsts]], n) + inner])
     start.append((np.repeat(first[firsts], n) + inner)[at]), size.append(np.ones(len(at), np.int64)), owner.append(np.repeat(of[firsts], n)[at])
     start, size, owner = np.concatenate(start), np.concatenate(size), np.concatenate(owner)
-    shard = (ths[owner].view(np.uint64) % np.uint64(width)).astype(np.int64)
-    order = np.lexsort((start, owner, shard))
-    start, size, owner, shard = start[order], size[order], owner[order], shard[order]
-    # Neighbouring windows become one range.
-    new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (start[1:] > start[:-1] + size[:-1])]) if len(start) else np.empty(0, np.int64)
-    if not len(new):
+    group, row = groups[owner], rows[owner]
+    order = np.lexsort((start, row, group))
+    start, size, row, group = start[order], size[order], row[order], group[order]
+    if not len(start):
         return
+    # Neighbouring windows become one range.
+    new = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (group[1:] != group[:-1]) | (start[1:] > start[:-1] + size[:-1])])
     last = np.r_[new[1:], len(start)] - 1
-    start, stop, owner, shard = start[new], start[last] + size[last], owner[new], shard[new]
-    cut = np.searchsorted(shard, np.arange(width + 1))
-    keys, blobs = [], []
-    for k in range(width):
-        a, b = cut[k], cut[k + 1]
-        if a < b:
-            there, local = np.unique(owner[a:b], return_inverse=True)
-            keys.append(k), blobs.append(pack(doc_ids[there], ths[there], smallest(local), smallest(start[a:b]), smallest(stop[a:b] - start[a:b])))
-    yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["key", "blob"])
+    start, stop, row, group = start[new], start[last] + size[last], row[new], group[new]
+    cut = np.flatnonzero(np.r_[True, np.diff(group) != 0, True])
+    blobs = [pack(smallest(row[a:b]), smallest(start[a:b]), smallest(stop[a:b] - start[a:b])) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(blobs), np.int64)), pa.array(group[cut[:-1]]), pa.array(blobs, pa.binary())], ["key", "grp", "blob"])
 
 
 def _whole_anchors(rest: np.ndarray, alike: np.ndarray, size: np.ndarray, limit: int = 1 << 22) -> Iterator[np.ndarray]:
@@ -313,32 +313,30 @@ def _whole_anchors(rest: np.ndarray, alike: np.ndarray, size: np.ndarray, limit:
 
 
 def _ranges(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """Windows of whole documents -> doc_id, th and the removed byte ranges, joined where they touch."""
-    parts = [unpack(blob) for batch in batches for blob in batch.column(1).to_pylist()]
-    if not parts:
-        return
-    base = np.r_[0, np.cumsum([len(p[0]) for p in parts])]
-    doc_id, th = np.concatenate([p[0] for p in parts]).astype(np.int64), np.concatenate([p[1] for p in parts])
-    of = np.concatenate([p[2].astype(np.int64) + b for p, b in zip(parts, base, strict=False)])
-    start = np.concatenate([p[3].astype(np.int64) for p in parts])
-    stop = start + np.concatenate([p[4].astype(np.int64) for p in parts]) - 1 + length
-    same = np.lexsort((th, doc_id))
-    number = np.empty(len(doc_id), np.int64)
-    number[same] = np.cumsum(np.r_[True, (np.diff(doc_id[same]) != 0) | (np.diff(th[same]) != 0)]) - 1
-    name = same[np.unique(number[same], return_index=True)[1]]
-    of = number[of]
-    order = np.lexsort((start, of))
-    of, start, stop = of[order], start[order], stop[order]
-    # Ends of earlier ranges of the same document, as one running maximum over shifted values.
-    shift = of * (int(stop.max()) + 1)
-    reach = np.maximum.accumulate(stop + shift) - shift
-    new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (start[1:] > reach[:-1])])
-    last = np.r_[new[1:], len(of)] - 1
-    of, start, stop = of[new], start[new], reach[last]
-    cut = np.flatnonzero(np.r_[True, np.diff(of) != 0, True])
-    blobs = [np.stack((start[a:b], stop[a:b])).astype("<i8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-    who = name[of[cut[:-1]]]
-    yield pa.RecordBatch.from_arrays([pa.array(doc_id[who]), pa.array(th[who]), pa.array(blobs, pa.binary())], ["d", "t", "ranges"])
+    """Windows of whole batches -> doc_id, th and the removed byte ranges, joined where they touch."""
+    docs, found = {}, {}
+    for batch in batches:
+        for k, g, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if k < 0:
+                docs[g] = blob
+            else:
+                found.setdefault(g, []).append(blob)
+    for g, blobs in found.items():
+        doc_id, th = unpack(docs.pop(g))
+        of, start, size = (np.concatenate(x).astype(np.int64) for x in zip(*map(unpack, blobs), strict=True))
+        stop = start + size - 1 + length
+        order = np.lexsort((start, of))
+        of, start, stop = of[order], start[order], stop[order]
+        # Ends of earlier ranges of the same document, as one running maximum over shifted values.
+        shift = of * (int(stop.max()) + 1)
+        reach = np.maximum.accumulate(stop + shift) - shift
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (start[1:] > reach[:-1])])
+        last = np.r_[new[1:], len(of)] - 1
+        of, start, stop = of[new], start[new], reach[last]
+        cut = np.flatnonzero(np.r_[True, np.diff(of) != 0, True])
+        ranges = [np.stack((start[a:b], stop[a:b])).astype("<i8").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        who = of[cut[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array(doc_id[who].astype(np.int64)), pa.array(th[who]), pa.array(ranges, pa.binary())], ["d", "t", "ranges"])
 
 
 # --- the operator -----------------------------------------------------------------------------
@@ -368,9 +366,10 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     del asked, answered
     release(spark)
     both = rows.select("d", "t", "text").join(shared, ["d", "t"])
-    around = both.select("d", "t", "text", "windows").mapInArrow(lambda b: _contexts(b, width, length), "key long, blob binary")
-    found = around.repartition(width, "key").mapInArrow(lambda b: _earlier(b, width, length), "key long, blob binary")
-    out = settle(found.repartition(width, "key").mapInArrow(lambda b: _ranges(b, length), "d long, t long, ranges binary"))
+    around = both.select("d", "t", "text", "windows").mapInArrow(lambda b: _contexts(b, width, length), kinds)
+    found = around.repartition(width, "key").mapInArrow(lambda b: _earlier(b, length), kinds)
+    # Repeated rows of a document have the same ranges.
+    out = settle(found.repartition(width, "grp").mapInArrow(lambda b: _ranges(b, length), "d long, t long, ranges binary").groupBy("d", "t").agg(F.first("ranges").alias("ranges")))
     del both, around, found
     release(spark)
     return out
