@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .counts import token_counts
+from .leaks import leak_pairs
 from .lines import SQL as LINES_SQL
 from .lines import line_digests
 from .mixing import SQL as MIX_SQL
@@ -48,6 +49,10 @@ def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_documents(spark, sf_dir))
 
 
+def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leak_pairs(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), lower=True)
 
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op6_secret_spans": op6_secret_spans,
+    "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_token_store": op9_token_store,
     "op10_repeats": op10_repeats,
 }
