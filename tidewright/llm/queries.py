@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .counts import token_counts
+from .language import document_languages, page_languages
 from .leaks import leak_pairs
 from .lines import SQL as LINES_SQL
 from .lines import line_digests
@@ -49,6 +50,15 @@ def op6_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digests(_documents(spark, sf_dir))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return document_languages(_documents(spark, sf_dir))
+
+
+def pages_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator of op7 on web pages, which also have addresses and markup."""
+    return page_languages(spark.read.parquet(f"{sf_dir}/pages.parquet"), _documents(spark, sf_dir))
+
+
 def op8_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak_pairs(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -68,9 +78,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_token_counts": op5_token_counts,
     "op6_secret_spans": op6_secret_spans,
+    "op7_language_id": op7_language_id,
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_token_store": op9_token_store,
     "op10_repeats": op10_repeats,
+    "pages_language_id": pages_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {
