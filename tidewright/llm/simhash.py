@@ -73,13 +73,15 @@ def fingerprint_texts(texts: list[bytes]) -> np.ndarray:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = (x or b"" for x in batch.column(1).cast(pa.large_binary()).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_texts(texts).view(np.int64))], ["doc_id", "fp"])
+        texts = (x or b"" for x in batch.column(2).cast(pa.large_binary()).to_pylist())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprint_texts(texts).view(np.int64))], ["doc_id", "t", "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp: the 64-bit SimHash of each text's three-word shingles, as a signed long."""
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
+    """doc_id, t, fp: a hash of each text and the SimHash of its three-word shingles, as signed longs."""
+    own = F.col(text).cast("string")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("t"), own.alias("text"))
+    return rows.mapInArrow(_fingerprint_batches, "doc_id long, t long, fp long")
 
 
 def _spread_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,6 +178,15 @@ def near_links(classes: DataFrame) -> DataFrame:
     return spread.repartition(width, "tab", "key").mapInArrow(_link_batches, "a long, b long")
 
 
+def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """doc_id, t, fp, component_id of every row."""
+    prints = settle(fingerprints(docs, doc_id, text))
+    classes = settle(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    ends = settle(connected_components(near_links(classes), "a", "b"))
+    named = classes.join(ends, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "fp", "left")
+
+
 def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of every row of docs.
 
@@ -185,9 +196,19 @@ def simhash_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     component is that of the numbered documents with its fingerprint, null where there are none.
     Other columns of docs are not read. An empty table gives an empty result.
     """
-    prints = settle(fingerprints(docs, doc_id, text))
-    classes = settle(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    ends = settle(connected_components(near_links(classes), "a", "b"))
-    named = classes.join(ends, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    out = prints.join(named, "fp", "left")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _grouped(docs, doc_id, text).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without near-duplicates: of each component the one with the smallest doc_id.
+
+    Of rows with that doc_id the one whose text has the smallest hash stays, and of equal ones any.
+    Rows without a doc_id are grouped by fingerprint where it has no numbered document.
+    """
+    last = F.lit((1 << 63) - 1)
+    rows = _grouped(docs, doc_id, text).withColumn("d", F.coalesce("doc_id", last))
+    group = F.struct(F.col("component_id").alias("c"), F.when(F.col("component_id").isNull(), F.col("fp")).alias("fp"))
+    firsts = rows.groupBy(group.alias("g")).agg(F.min(F.struct("d", "t")).alias("r")).select("r.d", "r.t")
+    own = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(doc_id).cast("long"), last).alias("d"), own.alias("t"))
+    return keyed.join(firsts, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]).select("_row.*")
