@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, shuffle_width
-from .repeats import pack, smallest, unpack
+from .common import flat, settle
 
 #: Items searched together, and latent dimensions with their surplus.
-BLOCK, RANK, SURPLUS = 256, 256, 32
+BLOCK, RANK, SURPLUS = 256, 96, 16
 #: Terms in more than this share of documents take no part in the vectors, but for the RAREST of each item.
-COMMON, RAREST = 0.1, 8
+COMMON, RAREST = 0.02, 8
 #: Least cosine of a candidate; least share of an item's weight found in order; that of its answer; share beyond which the answer isn't asked for.
 COSINE, SHARE, ANSWER, PLAIN = 0.3, 0.6, 0.5, 0.8
 #: Longest item in words; longer ones are cut into items of that length, so that windows stay short.
@@ -58,77 +57,67 @@ class Items:
 
 
 def _terms(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Iterator[pa.RecordBatch]:
-    """d, t, text -> d, t and where the text has words of the vocabulary."""
+    """d, t, text -> d, t and the places and terms of the text's words that are in the vocabulary."""
     look, size = vocabulary.get, len(vocabulary)
-    form = np.min_scalar_type(size)
     for batch in batches:
-        blobs = []
+        places, terms = [], []
         for text in batch.column(2).to_pylist():
             found = words_of(text or "")
-            term = np.fromiter(map(look, found, repeat(size)), np.int64, len(found))
+            term = np.fromiter(map(look, found, repeat(size)), np.int32, len(found))
             at = np.flatnonzero(term < size)
-            blobs.append(pack(smallest(np.diff(at, prepend=0)), term[at].astype(form)) if len(at) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["d", "t", "terms"])
+            places.append(at.astype("<i4").tobytes()), terms.append(term[at].astype("<i4").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.binary()), pa.array(terms, pa.binary())], ["d", "t", "place", "term"])
+
+
+def _ints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of a binary column, and the offsets of its rows."""
+    data, ends = flat(column)
+    return np.frombuffer(data.tobytes(), "<i4"), ends // 4
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     df = np.zeros(size, np.int64)
     for batch in batches:
-        for blob in batch.column(0).to_pylist():
-            if blob:
-                df[np.unique(unpack(blob)[1])] += 1
+        term, ends = _ints(batch.column(0))
+        doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        df += np.bincount(np.unique(doc * size + term) % size, minlength=size)
     some = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "n"])
 
 
-def _windows(blob: bytes, weight: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sparse passages of one document: window, term, value (unit length), by window; windows step by half their span."""
-    step, term = unpack(blob)
-    at = np.cumsum(step.astype(np.int64))
-    some = weight[term] > 0
-    at, term = at[some], term[some].astype(np.int64)
-    half = at // (span // 2)
-    window, term = np.r_[half, half - 1], np.r_[term, term]
-    key, times = np.unique((window + 1) * len(weight) + term, return_counts=True)
-    window, term = key // len(weight) - 1, key % len(weight)
-    value = np.sqrt(times).astype(np.float32) * weight[term]
-    new = np.flatnonzero(np.r_[True, np.diff(window) != 0]) if len(window) else np.empty(0, np.int64)
-    if len(new):
-        norm = np.sqrt(np.add.reduceat(value * value, new))
-        value /= np.repeat(norm, np.diff(np.r_[new, len(window)]))
-    return window, term, value
-
+def _passages(place: pa.Array, term: pa.Array, weight: np.ndarray, span: int, limit: int = 30_000) -> Iterator[tuple[np.ndarray, ...]]:
+    """Sparse passages, some at a time: document, window, term, value (unit length), and where each passage starts.
 
-def _blocks(batches: Iterator[pa.RecordBatch], column: int, weight: np.ndarray, span: int, limit: int = 40_000) -> Iterator[tuple]:
-    """Passages of several documents at a time: rows of (batch row), starts of the passages, window, term, value."""
-    for batch in batches:
-        held, size = [], 0
-        for i, blob in enumerate(batch.column(column).to_pylist()):
-            if blob:
-                own = _windows(blob, weight, span)
-                held.append((i, *own))
-                size += len(own[0])
-            if size > limit:
-                yield batch, held
-                held, size = [], 0
-        if size:
-            yield batch, held
-
-
-def _dense(held: list[tuple], basis: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Passage rows times the basis, and their documents, windows, starts and terms."""
-    doc = np.concatenate([np.full(len(h[1]), h[0]) for h in held])
-    window, term, value = (np.concatenate([h[k] for h in held]) for k in (1, 2, 3))
-    new = np.flatnonzero(np.r_[True, (np.diff(doc) != 0) | (np.diff(window) != 0)])
-    out = np.add.reduceat(basis[term] * value[:, None], new, axis=0)
-    return out, doc, window, new, term, value
+    Windows step by half their span, so each place lies in two; only terms with weight count.
+    """
+    at, ends = _ints(place)
+    term = _ints(term)[0].astype(np.int64)
+    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    some = np.flatnonzero(weight[term] > 0)
+    doc, half, term = doc[some], at[some].astype(np.int64) // (span // 2), term[some]
+    if not len(term):
+        return
+    size, most = len(weight), int(half.max()) + 2
+    key = (doc * most + half + 1) * size + term
+    key, times = np.unique(np.r_[key, key - size], return_counts=True)
+    passage, term = key // size, key % size
+    value = np.sqrt(times).astype(np.float32) * weight[term]
+    new = np.flatnonzero(np.r_[True, np.diff(passage) != 0])
+    value /= np.repeat(np.sqrt(np.add.reduceat(value * value, new)), np.diff(np.r_[new, len(term)]))
+    doc, window = passage // most, passage % most - 1
+    lo = 0
+    while lo < len(new):
+        hi = max(lo + 1, int(np.searchsorted(new, new[lo] + limit)))
+        a, b = new[lo], new[hi] if hi < len(new) else len(term)
+        yield doc[a:b], window[a:b], term[a:b], value[a:b], new[lo:hi] - a
+        lo = hi
 
 
 def _sketch(batches: Iterator[pa.RecordBatch], weight: np.ndarray, span: int, omega: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Sum of a (a omega) over passages a, in parts of rows, and the number of passages."""
     total, n = np.zeros(omega.shape, np.float32), 0
-    for _, held in _blocks(batches, 0, weight, span):
-        y, _, _, new, term, value = _dense(held, omega)
+    for _, _, term, value, new in (p for b in batches for p in _passages(b.column(0), b.column(1), weight, span)):
+        y = np.add.reduceat(omega[term] * value[:, None], new, axis=0)
         spread = np.repeat(y, np.diff(np.r_[new, len(term)]), axis=0) * value[:, None]
         order = np.argsort(term, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(term[order]) != 0])
@@ -165,7 +154,7 @@ def latent_basis(terms: DataFrame, items: Items, rank: int = RANK, surplus: int
     size, width = len(items.vocabulary), min(rank + surplus, len(items.vocabulary))
     omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0].astype(np.float32)
     weight, span, parts = items.weight, items.window, 16
-    sums = terms.select("terms").mapInArrow(lambda b: _sketch(b, weight, span, omega, parts), "part int, n long, rows binary")
+    sums = terms.select("place", "term").mapInArrow(lambda b: _sketch(b, weight, span, omega, parts), "part int, n long, rows binary")
     sums = sums.repartition(parts, "part").mapInArrow(_added, "part int, n long, rows binary").collect()
     total = np.zeros((size, width))
     at = np.cumsum([0, *(len(x) for x in np.array_split(np.arange(size), parts))])
@@ -193,38 +182,41 @@ def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
 
 
 def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """d, t, terms -> the items that a document has, with its best window's cosine and shares."""
+    """d, t, place, term -> the items that a document has, with its best window's cosine and shares."""
     look = items.vectors() @ basis
     look /= np.maximum(np.sqrt((look * look).sum(axis=1, keepdims=True)), 1e-30)
     answers = [w[-max(1, len(w) // 3) :] for w in items.words]
     whole, ends = [items.idf[w].sum() for w in items.words], [items.idf[w].sum() for w in answers]
-    for batch, held in _blocks(batches, 2, items.weight, items.window):
-        y, doc, window, new, _, _ = _dense(held, basis)
-        y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-30)
-        cos = y @ look.T
-        rows, cols = np.nonzero(cos >= COSINE)
+    half = items.window // 2
+    for batch in batches:
         best: dict[tuple[int, int], tuple] = {}
-        blobs, seqs = batch.column(2), {}
-        for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
-            d, w = int(doc[new[r]]), int(window[new[r]])
-            if d not in seqs:
-                step, term = unpack(blobs[d].as_py())
-                seqs = {d: (np.cumsum(step.astype(np.int64)), term.astype(np.int64))}
-            at, term = seqs[d]
-            lo, hi = np.searchsorted(at, [w * (items.window // 2), w * (items.window // 2) + items.window])
-            part = term[lo:hi]
-            # What is there in any order bounds what is there in order.
-            if items.idf[items.words[c]][np.isin(items.words[c], part)].sum() < SHARE * whole[c]:
-                continue
-            share = weighted_lcs(items.words[c], part, items.idf) / whole[c]
-            if share < SHARE:
-                continue
-            answer = weighted_lcs(answers[c], part, items.idf) / ends[c]
-            if answer >= ANSWER or share >= PLAIN:
-                best[d, c] = max(best.get((d, c), (0.0, 0.0, 0.0)), (share, answer, float(cos[r, c])))
+        (at, offsets), (term, _) = _ints(batch.column(2)), _ints(batch.column(3))
+        for doc, window, own, value, new in _passages(batch.column(2), batch.column(3), items.weight, items.window):
+            y = np.add.reduceat(basis[own] * value[:, None], new, axis=0)
+            y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-30)
+            cos = y @ look.T
+            rows, cols = np.nonzero(cos >= COSINE)
+            part, held = None, None
+            for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
+                d, w = int(doc[new[r]]), int(window[new[r]])
+                if part != r:
+                    lo, hi = offsets[d] + np.searchsorted(at[offsets[d] : offsets[d + 1]], [w * half, w * half + items.window])
+                    part, seq = r, term[lo:hi]
+                    held = np.zeros(len(items.idf), bool)
+                    held[seq] = True
+                # What is there in any order bounds what is there in order.
+                words = items.words[c]
+                if items.idf[words][held[words]].sum() < SHARE * whole[c]:
+                    continue
+                share = weighted_lcs(words, seq, items.idf) / whole[c]
+                if share < SHARE:
+                    continue
+                answer = weighted_lcs(answers[c], seq, items.idf) / ends[c]
+                if answer >= ANSWER or share >= PLAIN:
+                    best[d, c] = max(best.get((d, c), (0.0, 0.0, 0.0)), (share, answer, float(cos[r, c])))
         if best:
-            at = pa.array([d for d, _ in best])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(items.ids[[c for _, c in best]]), *(pa.array([x[k] for x in best.values()]) for k in (2, 0, 1))], ["d", "t", "item_id", "cosine", "share", "answer"])
+            rows = pa.array([d for d, _ in best])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(items.ids[[c for _, c in best]]), *(pa.array([x[k] for x in best.values()]) for k in (2, 0, 1))], ["d", "t", "item_id", "cosine", "share", "answer"])
 
 
 def _blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
@@ -256,14 +248,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     Null, empty and wordless texts and items hold nothing; items without an id are left out; an
     empty table on either side gives an empty result.
     """
-    width = shuffle_width(docs.sparkSession)
     rows = _keyed(docs, doc_id, text).where("text is not null")
     out = None
     for items in _blocks_of(benchmark, item_id, item_text):
         vocabulary, size = items.vocabulary, len(items.vocabulary)
-        terms = settle(rows.mapInArrow(lambda b, v=vocabulary: _terms(b, v), "d long, t long, terms binary"))
+        terms = settle(rows.mapInArrow(lambda b, v=vocabulary: _terms(b, v), "d long, t long, place binary, term binary"))
         df = np.zeros(size, np.int64)
-        counted = terms.select("terms").mapInArrow(lambda b, n=size: _frequencies(b, n), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counted = terms.select("term").mapInArrow(lambda b, n=size: _frequencies(b, n), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         for r in counted.collect():  # one row for each term of the block
             df[r.term] = r.n
         n = terms.count()
@@ -271,7 +262,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
             break
         items.weigh(df, n)
         basis = latent_basis(terms, items)
-        found = terms.where("terms is not null").repartition(max(width, 1)).mapInArrow(lambda b, i=items, v=basis: _verified(b, i, v), "d long, t long, item_id long, cosine double, share double, answer double")
+        found = terms.where(F.length("term") > 0).mapInArrow(lambda b, i=items, v=basis: _verified(b, i, v), "d long, t long, item_id long, cosine double, share double, answer double")
         found = settle(found)
         out = found if out is None else out.union(found)
     if out is None:
