@@ -1 +1,6 @@
+"""Registered queries and their SQL."""
 
+from . import review_queries
+
+QUERIES = {**review_queries.QUERIES}
+SQL = {**review_queries.SQL}
