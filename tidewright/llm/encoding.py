@@ -7,6 +7,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -149,24 +151,26 @@ class WordEncoder:
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, one text after another, and how many each text has."""
-        words: list[bytes] = []
-        ends = np.zeros(len(texts) + 1, np.int64)
-        for i, text in enumerate(texts):
+        own = []
+        for text in texts:
             if self.lower:
                 low = text.lower()
                 if b"<" not in low or not any(x in low for x in self.special):
                     text = low
-            words += _STOP.sub(rb" \g<0>", text).split()  # ASCII white space; any other is left to the library
-            ends[i + 1] = len(words)
+            own.append(_STOP.sub(rb" \g<0>", text))
+        # ASCII white space only; any other is left to the library.
+        parts = pc.ascii_split_whitespace(pa.array(own, pa.large_binary()).cast(pa.large_string()))
+        ends, coded = parts.offsets.to_numpy(), parts.flatten().cast(pa.large_binary()).dictionary_encode()
+        words = coded.dictionary.to_pylist()
         if len(self.slot) > self.words or self.used > self.ids:
             self._thin()
-        at = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
-        unknown = np.flatnonzero(at < 0)
-        self.again[at[at >= 0]] = True
-        if len(unknown):
+        known = np.fromiter(map(self.slot.__getitem__, words), np.int64, len(words))
+        self.again[known[known >= 0]] = True
+        if len(unknown := np.flatnonzero(known < 0)):
             missing = [words[i] for i in unknown.tolist()]
-            self._learn(list(set(missing)))
-            at[unknown] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
+            self._learn(missing)
+            known[unknown] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
+        at = known[coded.indices.to_numpy()]
         first = self.start[at]
         lens = self.start[at + 1] - first
         after = np.r_[0, np.cumsum(lens)]
