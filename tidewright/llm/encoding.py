@@ -44,8 +44,8 @@ def count_tokens(path: str, texts: list[str]) -> list[int]:
     return [len(x) for x in made.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-#: A stop between an ASCII letter or digit and white space is a piece of its own.
-_STOP = re.compile(rb"[.,](?<=[A-Za-z0-9][.,])(?=[\x20\x09-\x0D])")
+#: A mark behind an ASCII letter begins a piece of its own; apostrophes and what special tokens hold are left alone.
+_MARK = re.compile(rb"[!#-&(-/:;=?@\[-`{}~](?<=[A-Za-z].)")
 #: Only a to z and the small letters of Latin-1.
 _SMALL = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 #: How byte-level tokenizers spell bytes: visible Latin-1 as itself, the others from U+0100 on.
@@ -157,7 +157,7 @@ class WordEncoder:
                 low = text.lower()
                 if b"<" not in low or not any(x in low for x in self.special):
                     text = low
-            own.append(_STOP.sub(rb" \g<0>", text))
+            own.append(_MARK.sub(rb" \g<0>", text))
         # ASCII white space only; any other is left to the library.
         parts = pc.ascii_split_whitespace(pa.array(own, pa.large_binary()).cast(pa.large_string()))
         ends, coded = parts.offsets.to_numpy(), parts.flatten().cast(pa.large_binary()).dictionary_encode()
@@ -170,9 +170,10 @@ class WordEncoder:
             missing = [words[i] for i in unknown.tolist()]
             self._learn(missing)
             known[unknown] = np.fromiter(map(self.slot.__getitem__, missing), np.int64, len(missing))
-        at = known[coded.indices.to_numpy()]
-        first = self.start[at]
-        lens = self.start[at + 1] - first
-        after = np.r_[0, np.cumsum(lens)]
-        ids = self.pool[np.repeat(first - after[:-1], lens) + np.arange(after[-1])]
-        return ids, np.diff(after[ends])
+        at, lens = coded.indices.to_numpy(), (self.start[known + 1] - self.start[known]).astype(np.int32)
+        lens, first = lens[at], self.start[known].astype(np.int32)[at]
+        after = np.zeros(len(at) + 1, np.int32)
+        np.cumsum(lens, out=after[1:])
+        place = np.repeat(first - after[:-1], lens)
+        place += np.arange(len(place), dtype=np.int32)
+        return self.pool[place], np.diff(after[ends])

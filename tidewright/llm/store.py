@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +107,8 @@ def _chunker(path: str, lower: bool, end_id: int, wide: bool):
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, sent = _encoder(path, lower), set()
+        task = TaskContext.get()
+        uid = (task.partitionId() if task else 0) << 40
         for batch in batches:
             for doc_ids, texts in _groups(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
                 got, counts = encode(texts)
@@ -116,7 +119,7 @@ def _chunker(path: str, lower: bool, end_id: int, wide: bool):
                 body[ends[1:] - 1] = False
                 ids[body] = got
                 raw, step = ids.astype(form).tobytes(), form.itemsize
-                kind, doc, n, key, data = [], [], [], [], []
+                kind, doc, n, key, data, row = [], [], [], [], [], []
                 for i, own in enumerate(cuts(ids, ends)):
                     lo, at, recipe = int(ends[i]), 0, []
                     for e in own:
@@ -127,27 +130,15 @@ def _chunker(path: str, lower: bool, end_id: int, wide: bool):
                             if len(sent) > SENT:
                                 sent.clear()
                             sent.add(d)
-                            kind.append("chunk"), doc.append(None), n.append(e - at), key.append(d), data.append(piece)
+                            kind.append("chunk"), doc.append(None), n.append(e - at), key.append(d), data.append(piece), row.append(None)
                         at = e
-                    kind.append("doc"), doc.append(doc_ids[i]), n.append(int(counts[i])), key.append(merkle(recipe)), data.append(b"".join(recipe))
-                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(data, pa.binary())], ["kind", "doc_id", "n_tokens", "digest", "body"])
+                    kind.append("doc"), doc.append(doc_ids[i]), n.append(int(counts[i])), key.append(merkle(recipe)), data.append(b"".join(recipe)), row.append(uid)
+                    uid += 1
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(doc, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(data, pa.binary()), pa.array(row, pa.int64())], ["kind", "doc_id", "n_tokens", "digest", "body", "uid"])
 
     return chunk
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows of a task, which have all rows of a digest, each chunk once and every document."""
-    seen: set[bytes] = set()
-    for batch in batches:
-        keep = []
-        for kind, d in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            new = kind == "doc" or d not in seen
-            if new and kind != "doc":
-                seen.add(d)
-            keep.append(new)
-        yield batch.filter(pa.array(keep))
-
-
 def _part_root(table: pa.Table) -> pa.Table:
     rows = sorted(zip(table["row"].to_pylist(), table["root"].to_pylist(), table["n_tokens"].to_pylist(), strict=True))
     return pa.table({"part": table["part"][:1], "docs": pa.array([len(rows)], pa.int64()), "tokens": pa.array([sum(r[2] for r in rows)], pa.int64()), "root": pa.array([merkle([r[1] for r in rows])], pa.binary())})
@@ -164,11 +155,11 @@ def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower:
     """
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(_chunker(path, lower, end_id, wide), "kind string, doc_id long, n_tokens long, digest binary, body binary")
-    # Chunks go by their digest; documents are dealt evenly.
-    dealt = made.repartition(width, F.when(F.col("kind") == "chunk", F.xxhash64("digest")).otherwise(F.xxhash64("doc_id", "digest")))
-    dealt.mapInArrow(_once, made.schema).write.partitionBy("kind").option("compression", "zstd").parquet(f"{store}/packs")
-    found = spark.read.schema(made.schema).parquet(f"{store}/packs").where("kind = 'doc'")
+    made = rows.mapInArrow(_chunker(path, lower, end_id, wide), "kind string, doc_id long, n_tokens long, digest binary, body binary, uid long")
+    # Chunks have no uid and go by their digest, of which one row stays; documents are dealt evenly and all stay.
+    once = made.repartition(width, "kind", "digest", "uid").dropDuplicates(["kind", "digest", "uid"]).drop("uid")
+    once.write.partitionBy("kind").option("compression", "snappy").parquet(f"{store}/packs")
+    found = spark.read.schema(once.schema).parquet(f"{store}/packs").where("kind = 'doc'")
     ordered = found.select("doc_id", "n_tokens", F.col("digest").alias("root"), F.col("body").alias("recipe"), F.col("doc_id").isNull().alias("last"))
     ordered = ordered.repartitionByRange(width, "last", "doc_id", "root").sortWithinPartitions("last", "doc_id", "root")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", F.monotonically_increasing_id().alias("row"), "n_tokens", "recipe", "root")
