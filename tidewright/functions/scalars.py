@@ -29,9 +29,10 @@ def bayes_update(prior: Column, ratio: Column, eps: float = EPS) -> Column:
 
 
 def odds_update(prior: Column, ratio: Column) -> Column:
-    """The unchecked variant of inference chains: a ratio of 0 or less gives 0.001."""
-    odds = F.when(prior < 1, prior / F.nullif(1 - prior, F.lit(0.0))).otherwise(INF) * ratio
-    return F.when(ratio <= 0, 0.001).otherwise(F.when(odds == INF, 1.0).otherwise(odds / (1 + odds)))
+    """The variant of inference chains, without checks: a ratio of 0 or less gives 0.001, all stays within 0.001 and 0.999."""
+    p = F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), prior))
+    odds = p / (1 - p) * ratio
+    return F.when(ratio <= 0, EPS).otherwise(F.greatest(F.lit(EPS), F.least(F.lit(1 - EPS), odds / (1 + odds))))
 
 
 def next_pow2(n: Column) -> Column:

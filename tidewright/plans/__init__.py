@@ -1,6 +1,7 @@
 """Registered queries and their SQL."""
 
-from . import review_queries
+from . import ledger_queries, review_queries
 
-QUERIES = {**review_queries.QUERIES}
-SQL = {**review_queries.SQL}
+_MODULES = (review_queries, ledger_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

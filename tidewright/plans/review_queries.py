@@ -158,9 +158,9 @@ def info_criteria(spark, sf_dir):
 # --- order ------------------------------------------------------------------------------------
 
 
-@query("first_difference", f"WITH {V_MONTH}, d AS (SELECT series_id, t, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS value FROM v_month) SELECT series_id, t, round(value, 6) AS value FROM d WHERE value IS NOT NULL")
+@query("first_difference", f"WITH {V_MONTH}, d AS (SELECT series_id, t, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS value FROM v_month) SELECT series_id, t, round(value, 9) AS value FROM d WHERE value IS NOT NULL")
 def first_difference(spark, sf_dir):
-    return rounded(order.diff(v_month(spark, sf_dir)))
+    return rounded(order.diff(v_month(spark, sf_dir)), 9)
 
 
 @query("diff_snr", f"WITH {V_EVENT}, d AS (SELECT series_id, value - lag(value) OVER (PARTITION BY series_id ORDER BY t) AS e FROM v_event) SELECT series_id, count(e) AS n, round(abs(avg(e)) / stddev_samp(e), 6) AS snr FROM d GROUP BY 1")
