@@ -48,15 +48,15 @@ def train_calib_test(series: DataFrame, horizon: int = 1) -> DataFrame:
 
 
 def blocked_folds(rows: DataFrame, folds: int = 5) -> DataFrame:
-    """The rows with fold and role: fold k trains on the first k + 1 of folds + 1 blocks and tests on the next.
+    """The rows with fold and role: fold k trains on the first k + 2 of folds + 1 blocks and tests on the next.
 
-    Blocks are as long as n div (folds + 1); the last one is what is left beyond them if that is
-    shorter. Folds that would test fewer than 3 rows are left out.
+    Blocks are as long as n div (folds + 1), so the last fold tests the few rows that are left
+    beyond them. Folds that would test fewer than 3 rows, and blocks under 5, are left out.
     """
     rows = rows.withColumn("n", F.count("*").over(whole())).withColumn("i", F.row_number().over(whole().orderBy("t")) - 1)
     size = F.floor(F.col("n") / (folds + 1))
     rows = rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))))
-    start = (F.col("fold") + 1) * size
+    start = (F.col("fold") + 2) * size
     stop = F.least(start + size, F.col("n"))
     role = F.when(F.col("i") < start, "train").when(F.col("i") < stop, "test")
     return rows.withColumn("role", role).where(F.col("role").isNotNull() & (stop - start >= 3) & (size >= 5)).drop("n", "i")

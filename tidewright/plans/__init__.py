@@ -1,7 +1,7 @@
 """Registered queries and their SQL."""
 
-from . import ledger_queries, review_queries
+from . import ledger_queries, numeric_queries, review_queries
 
-_MODULES = (review_queries, ledger_queries)
+_MODULES = (review_queries, ledger_queries, numeric_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: v for m in _MODULES for k, v in m.SQL.items()}

@@ -109,7 +109,7 @@ def train_calib_test(spark, sf_dir):
 
 
 @query("blocked_folds", f"""WITH {V_MONTH}, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM v_month), f AS (SELECT *, unnest(range(5)) AS fold, n // 6 AS size FROM n)
-SELECT series_id, t, CAST(fold AS INTEGER) AS fold, CASE WHEN t < (fold + 1) * size THEN 'train' ELSE 'test' END AS role FROM f WHERE t < (fold + 2) * size AND least((fold + 2) * size, n) - (fold + 1) * size >= 3 AND size >= 5""")
+SELECT series_id, t, CAST(fold AS INTEGER) AS fold, CASE WHEN t < (fold + 2) * size THEN 'train' ELSE 'test' END AS role FROM f WHERE t < (fold + 3) * size AND least((fold + 3) * size, n) - (fold + 2) * size >= 3 AND size >= 5""")
 def blocked_folds(spark, sf_dir):
     return splits.blocked_folds(v_month(spark, sf_dir)).drop("value")
 

@@ -61,7 +61,7 @@ V_EVENT = """v_event AS (
 
 def v_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
     """series_id, t, value: how many events of each type each hour has, hours without any as 0."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.floor(F.unix_timestamp("ts") / 3600).alias("h"))
+    rows = table(spark, sf_dir, "events").select("event_type", F.floor(F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") / 3600).alias("h"))
     ends = rows.agg(F.min("h").alias("a"), F.max("h").alias("b"))
     # One row for each type, and one for the ends of all hours.
     grid = rows.select("event_type").distinct().join(F.broadcast(ends)).select("event_type", F.explode(F.sequence("a", "b")).alias("h"), "a")
