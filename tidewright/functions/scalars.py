@@ -53,7 +53,7 @@ def parse_plausibility(text: Column) -> Column:
 
 
 def parse_aliases(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def natural_key(name: Column) -> list[Column]:
