@@ -355,7 +355,7 @@ def surplus_audit(spark, sf_dir):
     return scope.surplus(_observations(spark, sf_dir), _explains(spark, sf_dir)).select("obs_id", "category")
 
 
-@query("coverage_promotion", f"""WITH {_EXPLAINS}, c AS (SELECT n_nationkey AS cand_id, n_name AS cause, 0.1 + n_nationkey * 0.02 AS prior, CASE WHEN n_nationkey % 2 = 0 THEN 'library' ELSE 'llm_parametric' END AS source, 0.05 + 0.01 * n_regionkey AS complexity FROM nation),
+@query("coverage_promotion", f"""WITH {_EXPLAINS}, c AS (SELECT n_nationkey AS cand_id, n_name AS cause, 0.1::DOUBLE + n_nationkey * 0.02::DOUBLE AS prior, CASE WHEN n_nationkey % 2 = 0 THEN 'library' ELSE 'llm_parametric' END AS source, 0.05::DOUBLE + 0.01::DOUBLE * n_regionkey AS complexity FROM nation),
 s AS (SELECT c.*, coalesce((SELECT count(DISTINCT obs_id) FROM ex WHERE ex.cand_id = c.cand_id), 0) / (SELECT count(*) FROM customer) / complexity AS coverage_score FROM c)
 SELECT cand_id, cause, round(prior, 6) AS prior, source, round(coverage_score, 6) AS coverage_score, coverage_score >= 0.3 AND NOT (source = 'llm_parametric' AND prior > 0.3) AS promoted FROM s""")
 def coverage_promotion(spark, sf_dir):
