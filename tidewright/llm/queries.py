@@ -15,7 +15,9 @@ from .lines import line_digests
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_sizes
 from .nearest import nearest
+from .repeats import SQL as REPEATS_SQL
 from .repeats import repeat_digests
+from .secrets import SQL as SECRETS_SQL
 from .secrets import secret_digests
 from .simhash import simhash_components
 from .store import token_store
@@ -88,4 +90,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": LINES_SQL,
     "op4_mix_sources": MIX_SQL,
+    "op6_secret_spans": SECRETS_SQL,
+    "op10_repeats": REPEATS_SQL,
 }

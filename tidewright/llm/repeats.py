@@ -418,3 +418,28 @@ def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are earlier than each other. Other columns are not read; an empty table gives an empty result.
     """
     return _with_ranges(docs, doc_id, text, length).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+#: The same by plain windows of LENGTH bytes in hexadecimal; for tables of some megabytes.
+SQL = f"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents
+), w AS (
+  SELECT doc_id, i, substr(x, 2 * i - 1, {2 * LENGTH}) AS s FROM (SELECT doc_id, x, unnest(range(1, n - {LENGTH - 2})) AS i FROM d WHERE n >= {LENGTH})
+), m AS (
+  SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) < doc_id AS hit FROM w
+), o AS (
+  SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + {LENGTH}, true)::INTEGER AS opens FROM m WHERE hit
+), r AS (
+  SELECT doc_id, run, min(i) AS a, max(i) + {LENGTH - 1} AS z FROM (SELECT *, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o) GROUP BY 1, 2
+), p AS (
+  SELECT doc_id, coalesce(lag(z) OVER v, 0) + 1 AS a, a - 1 AS z FROM r WINDOW v AS (PARTITION BY doc_id ORDER BY a)
+  UNION ALL SELECT d.doc_id, coalesce((SELECT max(z) FROM r WHERE r.doc_id = d.doc_id), 0) + 1, n FROM d
+), k AS (
+  SELECT p.doc_id, string_agg(substr(x, 2 * p.a - 1, 2 * (p.z - p.a + 1)), '' ORDER BY p.a) AS x FROM p JOIN d USING (doc_id) GROUP BY 1
+), g AS (
+  SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM r GROUP BY 1
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.x)) AS kept_sha256
+FROM d JOIN k USING (doc_id) LEFT JOIN g USING (doc_id)
+"""

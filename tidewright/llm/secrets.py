@@ -139,3 +139,44 @@ def secret_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     found = secret_spans(docs, doc_id, text)
     counts = [F.size(_of("base", k)).cast("long").alias(f"n_{k}") for k, *_ in BASE]
     return found.select("doc_id", *counts, F.sha2(_said(F.col("base")), 256).alias("base_sha256"), _said(F.col("found")).alias("spans"))
+
+
+def _sql() -> str:
+    """The same with every window's entropy worked out anew."""
+    any_case = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+    assign = "(" + "|".join(map(any_case, ("password", "passwd", "secret", "token", "api_?key"))) + BASE[0][1][BASE[0][1].index("))") + 1 :].replace("'", "''")
+    patterns = [assign, *(p for _, p, *_ in BASE[1:])]
+    hits = " UNION ALL ".join(
+        f"SELECT id, {i} AS rank, '{k}' AS kind, unnest(regexp_extract_all(text, '{p}', 0)) AS hit, unnest(regexp_extract_all(text, '{p}', {g})) AS val, unnest(string_split_regex(text, '{p}')[:-2]) AS piece, unnest(range(len(regexp_extract_all(text, '{p}', 0)))) AS i FROM d"
+        for i, ((k, _, g, _), p) in enumerate(zip(BASE, patterns, strict=True))
+    )
+    least = "CASE kind " + " ".join(f"WHEN '{k}' THEN {n}" for k, _, _, n in BASE) + " END"
+    window = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN {w}" for _, p, w, _ in CLASSES) + " END"
+    limit = "CASE " + " ".join(f"WHEN regexp_matches(s, '{p}') THEN {b}::DOUBLE" for _, p, _, b in CLASSES) + " END"
+    allowed = " OR ".join(f"regexp_matches(s, '{p}')" for p in ALLOWED)
+    listed = "string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank)"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM documents), h AS ({hits}
+), b AS (
+  SELECT id, rank, kind, CAST(upto - length(hit) AS BIGINT) AS a, CAST(upto AS BIGINT) AS z
+  FROM (SELECT *, sum(length(piece) + length(hit)) OVER (PARTITION BY id, rank ORDER BY i) AS upto FROM h) WHERE length(val) >= {least}
+), c0 AS (
+  SELECT id, unnest(regexp_extract_all(text, '{CANDIDATE}', 0)) AS s, unnest(string_split_regex(text, '{CANDIDATE}')[:-2]) AS piece, unnest(range(len(regexp_extract_all(text, '{CANDIDATE}', 0)))) AS i FROM d
+), c AS (
+  SELECT id, s, i, sum(length(piece) + length(s)) OVER (PARTITION BY id ORDER BY i) - length(s) AS a, {window} AS w, {limit} AS bits FROM c0
+), v AS (
+  SELECT id, i, a, w, bits, unnest(range(1, length(s) - w + 2)) AS k, s FROM c WHERE NOT ({allowed}) AND regexp_matches(s, '[0-9]') AND regexp_matches(s, '[A-Za-z]')
+), e AS (
+  SELECT id, {len(BASE)} AS rank, 'entropy' AS kind, CAST(a + min(k) - 1 AS BIGINT) AS a, CAST(a + max(k) - 1 + w AS BIGINT) AS z
+  FROM (SELECT *, list_aggregate(string_split(substr(s, k, w), ''), 'entropy') AS h FROM v) t WHERE h >= bits - 1e-9 GROUP BY id, i, t.a, w
+), f AS (
+  SELECT * FROM b UNION ALL SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = e.id AND b.a <= e.a AND e.z <= b.z)
+), gb AS (
+  SELECT id, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k, *_ in BASE)}, {listed} AS said FROM b GROUP BY 1
+), gf AS (SELECT id, {listed} AS said FROM f GROUP BY 1)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k, *_ in BASE)}, sha256(coalesce(gb.said, '')) AS base_sha256, coalesce(gf.said, '') AS spans
+FROM d LEFT JOIN gb USING (id) LEFT JOIN gf USING (id)
+"""
+
+
+SQL = _sql()
