@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -70,6 +71,12 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def each_text(column: pa.Array) -> Iterator[bytes]:
+    """as_bytes one at a time, so that a batch of long texts is not held twice."""
+    for x in column.cast(pa.large_binary()):
+        yield x.as_py() or b""
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a text or binary column and the n + 1 offsets of its rows (null: empty)."""
     column = column.cast(pa.large_binary())

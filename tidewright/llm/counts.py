@@ -129,7 +129,7 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             n_bytes = pa.array([len(x.encode()) for x in texts], pa.int64())
             n = count_batch(path, texts, chunk, overlap)

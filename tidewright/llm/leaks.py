@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat, settle
+from .common import each_text, flat, settle
 
 #: Items searched together, and latent dimensions with their surplus.
 BLOCK, RANK, SURPLUS = 256, 96, 16
@@ -61,8 +61,8 @@ def _terms(batches: Iterator[pa.RecordBatch], vocabulary: dict[str, int]) -> Ite
     look, size = vocabulary.get, len(vocabulary)
     for batch in batches:
         places, terms = [], []
-        for text in batch.column(2).to_pylist():
-            found = words_of(text or "")
+        for text in each_text(batch.column(2)):
+            found = words_of(text.decode())
             term = np.fromiter(map(look, found, repeat(size)), np.int32, len(found))
             at = np.flatnonzero(term < size)
             places.append(at.astype("<i4").tobytes()), terms.append(term[at].astype("<i4").tobytes())

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, all_anchors
-from .common import flat, release, settle, shuffle_width
+from .common import each_text, flat, release, settle, shuffle_width
 
 LENGTH = 50
 #: Documents without an id come after all others.
@@ -378,7 +378,7 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, gone, spans, kept = [], [], [], []
-        for raw, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for raw, ranges in zip(each_text(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             start, stop = np.frombuffer(ranges, "<i8").reshape(2, -1) if ranges else np.zeros((2, 0), np.int64)
             keep = hashlib.sha256()
             at = 0
@@ -393,7 +393,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for raw, ranges in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for raw, ranges in zip(each_text(batch.column(1)), batch.column(2).to_pylist(), strict=True):
             start, stop = np.frombuffer(ranges, "<i8").reshape(2, -1) if ranges else np.zeros((2, 0), np.int64)
             out.append(b"".join(raw[a:b] for a, b in zip([0, *stop.tolist()], [*start.tolist(), len(raw)], strict=True)))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "kept"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import each_text, settle
 from .components import connected_components
 
 SHINGLE = 3
@@ -57,7 +57,7 @@ def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
     return out
 
 
-def fingerprint_texts(texts: list[bytes]) -> np.ndarray:
+def fingerprint_texts(texts: Iterable[bytes]) -> np.ndarray:
     out, hashes, counts = [], [], []
     for text in texts:
         own = shingle_hashes(text)
@@ -73,8 +73,7 @@ def fingerprint_texts(texts: list[bytes]) -> np.ndarray:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = (x or b"" for x in batch.column(2).cast(pa.large_binary()).to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprint_texts(texts).view(np.int64))], ["doc_id", "t", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fingerprint_texts(each_text(batch.column(2))).view(np.int64))], ["doc_id", "t", "fp"])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, flat, shuffle_width, work_dir
+from .common import as_bytes, each_text, flat, shuffle_width, work_dir
 from .encoding import WordEncoder
 
 #: Ids under the rolling hash, and chunk lengths: 1 in MEAN places is a cut.
@@ -91,15 +91,16 @@ def _encoder(path: str, lower: bool) -> WordEncoder:
     return _ENCODERS[path, lower]
 
 
-def _groups(ids: list, texts: list[bytes]) -> Iterator[tuple[list, list[bytes]]]:
-    at, size = 0, 0
-    for i, text in enumerate(texts):
+def _groups(ids: list, texts: Iterator[bytes]) -> Iterator[tuple[list, list[bytes]]]:
+    at, size, held = 0, 0, []
+    for text in texts:
+        held.append(text)
         size += len(text)
         if size > GROUP_BYTES:
-            yield ids[at : i + 1], texts[at : i + 1]
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield ids[at:], texts[at:]
+            yield ids[at : at + len(held)], held
+            at, size, held = at + len(held), 0, []
+    if held:
+        yield ids[at:], held
 
 
 def _chunker(path: str, lower: bool, end_id: int, wide: bool):
@@ -110,7 +111,7 @@ def _chunker(path: str, lower: bool, end_id: int, wide: bool):
         task = TaskContext.get()
         uid = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            for doc_ids, texts in _groups(batch.column(0).to_pylist(), as_bytes(batch.column(1))):
+            for doc_ids, texts in _groups(batch.column(0).to_pylist(), each_text(batch.column(1))):
                 got, counts = encode(texts)
                 counts = counts + 1
                 ends = np.r_[0, np.cumsum(counts)]
