@@ -222,6 +222,29 @@ def transfer_function(pairs: DataFrame, fs: float = 1.0) -> DataFrame:
     return rows.groupBy(KEY).applyInArrow(one, "series_id string, freq double, gain_db double, phase_deg double, coherence double")
 
 
+def resonances(frf: DataFrame, prominence: float = 6.0, top: int = 5) -> DataFrame:
+    """series_id, freq, gain_db, prominence of gain peaks that stand out by prominence decibels, by frequency.
+
+    A peak's prominence is its height over the higher of the lowest points that part it from
+    higher gains on either side.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("freq")
+        f, g = table["freq"].to_numpy(), table["gain_db"].to_numpy()
+        out = []
+        for i in np.flatnonzero((g[1:-1] > g[:-2]) & (g[1:-1] > g[2:])) + 1:
+            left, right = np.flatnonzero(g[:i] > g[i]), np.flatnonzero(g[i + 1 :] > g[i])
+            a = g[(left[-1] if len(left) else 0) : i].min()
+            b = g[i + 1 : (i + 1 + right[0] if len(right) else len(g))].min()
+            if g[i] - max(a, b) >= prominence:
+                out.append((f[i], g[i], g[i] - max(a, b)))
+        out = np.array(out[:top]).reshape(-1, 3)
+        return pa.table({KEY: pa.array([table[KEY][0].as_py()] * len(out), pa.string()), "freq": out[:, 0], "gain_db": out[:, 1], "prominence": out[:, 2]})
+
+    return frf.select(KEY, "freq", "gain_db").groupBy(KEY).applyInArrow(one, "series_id string, freq double, gain_db double, prominence double")
+
+
 def frames(signals: DataFrame, fs: float = 1.0, size: int = 0) -> DataFrame:
     """series_id, frame, time, power, centroid of each frame of a short-time transform (three quarters overlap)."""
 
@@ -310,10 +333,13 @@ def analysis(signals: DataFrame, fs: float = 1.0, reference: DataFrame | None =
         check("spectral_spread", ladder([]), F.col("spread")),
     ]))
     if pairs is not None:
-        t = transfer_function(pairs, fs).groupBy(KEY).agg(F.avg("coherence").alias("c"), F.max("gain_db").alias("g"), F.max_by("phase_deg", "gain_db").alias("p"))
+        frf = transfer_function(pairs, fs)
+        t = frf.groupBy(KEY).agg(F.avg("coherence").alias("c"), F.max("gain_db").alias("g"), F.max_by("phase_deg", "gain_db").alias("p"))
+        t = t.join(resonances(frf).groupBy(KEY).agg(F.count("*").alias("sharp")), KEY, "left").withColumn("sharp", F.coalesce("sharp", F.lit(0)))
         out = out.union(phase(t, 6, "system_identification", [
             check("coherence", ladder([(F.col("c") < 0.3, "FAIL", "HIGH"), (F.col("c") < 0.6, "WARN", "MEDIUM")]), F.col("c")),
             check("transfer_function", ladder([]), F.col("g")),
+            check("resonances", ladder([(F.col("sharp") > 0, "WARN", "MEDIUM")]), F.col("sharp")),
             check("phase_at_peak", ladder([]), F.col("p")),
         ]))
     if reference is not None:

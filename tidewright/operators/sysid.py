@@ -123,6 +123,25 @@ def fit_grid(pairs: DataFrame, na: list[int], nb: list[int], nk: list[int], crit
     return rank_structures(out, criterion)
 
 
+def compare_families(pairs: DataFrame, na: list[int], nb: list[int], nk: int = 1, degree: int = 2, criterion: str = "bic") -> DataFrame:
+    """series_id, family, na, nb, nk, n, k, rss, criteria, whiteness and rank of linear and polynomial models alike."""
+    out = fit_grid(pairs, na, nb, [nk], criterion).drop("rank")
+    for a in na:
+        for b in (x for x in nb if x):
+            rows = features.polynomial_basis(pairs, a, b, degree, nk)
+            names = [c for c in rows.columns if c not in (KEY, "t", "y")]
+            terms = fit_narmax(pairs, a, b, degree, nk)
+            # Every column's coefficient, 0 for terms that were not chosen.
+            every = terms.select(KEY).distinct().select(KEY, F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(names)])))
+            params = every.join(terms.select(KEY, "name", "value"), [KEY, "name"], "left").select(KEY, "i", "name", F.coalesce("value", F.lit(0.0)).alias("value"))
+            rest = residuals(rows, params, names)
+            size = terms.groupBy(KEY).agg(F.count("*").alias("k"))
+            fit = rest.groupBy(KEY).agg(F.count("*").alias("n"), F.sum(F.col("value") ** 2).alias("rss")).join(size, KEY)
+            fit = fit.select(KEY, "n", "k", "rss", *[c.alias(x) for x, c in info_criteria(F.col("n"), F.col("k"), F.col("rss")).items()]).join(whiteness(rest), KEY, "left")
+            out = out.union(fit.select(KEY, F.lit("NARMAX").alias("family"), F.lit(a).alias("na"), F.lit(b).alias("nb"), F.lit(nk).alias("nk"), *[c for c in fit.columns if c != KEY]))
+    return rank_structures(out, criterion)
+
+
 def rank_structures(fits: DataFrame, criterion: str = "bic", white_first: bool = False) -> DataFrame:
     """fits with rank by the criterion, NaN last; white_first: those with white residuals before all others."""
     first = [F.desc("white")] if white_first else []
@@ -175,6 +194,22 @@ def simulate_arx(u: np.ndarray, theta: np.ndarray, na: int, nb: int, nk: int, y0
     return y
 
 
+def simulate_polynomial(u: np.ndarray, names: list[str], theta: np.ndarray, na: int, nb: int, nk: int, y0: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Output of a polynomial model regenerated from its first values; names as of features.polynomial_basis."""
+    y, at = np.zeros(len(u)), max(na, nk + nb - 1, 1)
+    y[:at] = y0[:at]
+    factors = [[] if n == "one" else [(f[0], int(f[1:])) for f in n.split("_")] for n in names]
+    for t in range(at, len(u)):
+        value = noise[t]
+        for own, c in zip(factors, theta, strict=True):
+            term = c
+            for kind, k in own:
+                term *= y[t - k] if kind == "y" else u[t - nk - k]
+            value += term
+        y[t] = value
+    return y
+
+
 def _design(y: np.ndarray, u: np.ndarray, na: int, nb: int, nk: int) -> tuple[np.ndarray, np.ndarray]:
     at, n = max(na, nk + nb - 1, 1), len(y)
     cols = [y[at - k : n - k] for k in range(1, na + 1)] + [u[at - nk - k : n - nk - k] for k in range(nb)]

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import ledger_queries, numeric_queries, review_queries
+from . import ledger_queries, numeric_queries, probe_queries, review_queries
 
 
 def without_negative_zero(sql: str) -> str:
@@ -19,6 +19,6 @@ def without_negative_zero(sql: str) -> str:
     return "".join(out) + sql[at:]
 
 
-_MODULES = (review_queries, ledger_queries, numeric_queries)
+_MODULES = (review_queries, ledger_queries, numeric_queries, probe_queries)
 QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 SQL = {k: without_negative_zero(v) for m in _MODULES for k, v in m.SQL.items()}
