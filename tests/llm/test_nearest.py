@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from tidewright.llm.nearest import chi2_cdf, chi2_quantile, nearest
+from tidewright.llm.nearest import Cells, chi2_cdf, chi2_quantile, nearest
 
 
 def brute(rows, queries, k=5):
@@ -61,6 +61,21 @@ def test_one_very_common_vector(spark):
     assert sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)
 
 
+def test_cells_reached_are_those_within_the_limit():
+    rng = np.random.default_rng(3)
+    points = rng.standard_normal((3000, 4))
+    cells = Cells(points, 6)
+    queries, limit = rng.standard_normal((40, 4)), rng.uniform(0.0, 1.0, 40)
+    q, cell = cells.reached(queries, limit)
+    assert len(set(zip(q.tolist(), cell.tolist(), strict=True))) == len(q)
+    got, home = set(zip(q.tolist(), cell.tolist(), strict=True)), cells.of(points)
+    assert all((i, c) in got for i, c in enumerate(cells.of(queries).tolist()))
+    for i, x in enumerate(queries):
+        near = np.flatnonzero(((points - x) ** 2).sum(axis=1) <= limit[i])
+        assert all((i, int(c)) in got for c in home[near])
+    assert len(got) < 40 * 64
+
+
 def test_chi_square():
     x = np.array([0.5, 3.0, 10.0, 40.0])
     assert chi2_cdf(x, 2) == pytest.approx(1 - np.exp(-x / 2))

@@ -80,18 +80,22 @@ class Cells:
             node = 2 * node + (points[np.arange(len(points)), self.axis[node]] > self.at[node])
         return node - (1 << self.depth)
 
-    def boxes(self, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-        n = 1 << self.depth
-        low, high = np.full((n, dimensions), -np.inf), np.full((n, dimensions), np.inf)
-        for cell in range(n):
-            for level in range(self.depth):
-                node = (n + cell) >> (self.depth - level)
-                a, x = self.axis[node], self.at[node]
-                if (n + cell) >> (self.depth - level - 1) & 1:
-                    low[cell, a] = max(low[cell, a], x)
-                else:
-                    high[cell, a] = min(high[cell, a], x)
-        return low, high
+    def reached(self, points: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of point and cell whose squared distance is at most the point's limit, by descent from the root.
+
+        off holds, for each way down, how far the point lies beyond the cell in each dimension.
+        """
+        q, node, off = np.arange(len(points)), np.ones(len(points), np.int64), np.zeros(points.shape)
+        for _ in range(self.depth):
+            axis = self.axis[node]
+            over = points[q, axis] - self.at[node]
+            near = 2 * node + (over > 0)
+            far = off.copy()
+            rows = np.arange(len(q))
+            far[rows, axis] = np.maximum(far[rows, axis], np.abs(over))
+            go = (far * far).sum(axis=1) <= most[q]
+            q, node, off = np.r_[q, q[go]], np.r_[near, near[go] ^ 1], np.concatenate([off, far[go]])
+        return q, node - (1 << self.depth)
 
 
 def leaves(points: np.ndarray, size: int = LEAF) -> list[np.ndarray]:
@@ -202,7 +206,6 @@ def _nearest_of(classes: DataFrame, asked: DataFrame, size: int, k: int, width:
     depth = int(np.ceil(np.log2(max(1, total / CELL)))) if len(sample) else 0
     points = unit(np.array(sample["vector"].tolist(), float)) @ spread if len(sample) else np.zeros((0, DIMENSIONS))
     cells = Cells(points, depth)
-    low, high = cells.boxes(DIMENSIONS)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -243,12 +246,12 @@ def _nearest_of(classes: DataFrame, asked: DataFrame, size: int, k: int, width:
                 continue
             p = unit(_matrix(batch.column(3))) @ spread
             home, most = batch.column(2).to_numpy(), limit * batch.column(4).to_numpy()
-            for cell in range(len(low)):
-                gap = np.maximum(0, np.maximum(low[cell] - p, p - high[cell]))
-                go = np.flatnonzero(((gap * gap).sum(axis=1) <= most) & (home != cell))
-                if len(go):
-                    part = batch.take(pa.array(go))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(go), cell)), part.column(0), part.column(1), part.column(3), part.column(4)], ["cell", "query_id", "q", "vector", "bound"])
+            go, cell = cells.reached(p, most)
+            away = home[go] != cell
+            go, cell = go[away], cell[away]
+            if len(go):
+                part = batch.take(pa.array(go))
+                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column(0), part.column(1), part.column(3), part.column(4)], ["cell", "query_id", "q", "vector", "bound"])
 
     away = bound.select("query_id", "q", "home", "vector", "bound").mapInArrow(sent, "cell long, query_id long, q long, vector array<double>, bound double")
     second = placed.groupBy("cell").cogroup(away.groupBy("cell")).applyInPandas(look, found_schema)
