@@ -43,7 +43,7 @@ def test_evidence_decides_where_the_text_is_even(spark):
 
 def test_edge_cases(spark):
     rows = [(i, "the cat sat on the mat and the dog", "en", "s") for i in range(8)]
-    rows += [(20, None, "en", "s"), (21, "", None, None), (22, "1234 !!", "en", None), (None, "the cat and the dog", None, None), (24, "the " * 50_000, "xx", "s"), (24, "the cat", "en", "s")]
+    rows += [(20, None, "en", "s"), (21, "", None, None), (22, "1234 !!", "en", None), (None, "the cat and the dog", None, None), (24, "the " * 50_000, "xx", "s"), (24, "the cat", "en", "s"), (25, "A.", "en", "s")]
     docs = spark.createDataFrame([(*r, "k", 0) for r in rows], "doc_id long, text string, lang string, source string, kept string, n int")
     got = document_languages(docs).collect()
     assert len(got) == len(rows)

@@ -134,11 +134,12 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: Column, decla
     declared language and by address suffix they say how either goes with the languages; summed by
     host, its domain and overall they are priors, each smoothed towards the next. A document's own
     counts are taken out of its host's. The posterior fuses all four; what is null says nothing.
+    Texts are read between spaces, so one letter is enough.
     kept: the text has grams, is likelier than letters at random, and the posterior is sure or more.
     """
     k, names = len(model.languages), model.languages
     pairs = [F.col(c) for c in keep]
-    rows = docs.select(*pairs, declared.cast("string").alias("declared"), suffix.cast("string").alias("suffix"), host.cast("string").alias("host"), domain.cast("string").alias("domain"), F.coalesce(text.cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(*pairs, declared.cast("string").alias("declared"), suffix.cast("string").alias("suffix"), host.cast("string").alias("host"), domain.cast("string").alias("domain"), F.concat(F.lit(" "), F.coalesce(text.cast("string"), F.lit("")), F.lit(" ")).alias("text"))
     if not k:
         return rows.select(*keep, "declared", F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
     held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
