@@ -157,7 +157,7 @@ UNION ALL SELECT series_id, 'train_r2_memorization', 'REJECT', 'CRITICAL', tr FR
 UNION ALL SELECT series_id, 'test_better_than_train', 'REJECT', 'CRITICAL', r FROM s WHERE r > tr + 0.01
 UNION ALL SELECT series_id, 'overfit_gap', CASE WHEN tr - r > 0.3 THEN 'FAIL' WHEN tr - r > 0.15 THEN 'WARN' ELSE 'PASS' END, CASE WHEN tr - r > 0.3 THEN 'HIGH' WHEN tr - r > 0.15 THEN 'MEDIUM' ELSE 'INFO' END, tr - r FROM s
 UNION ALL SELECT series_id, 'mae_gap', CASE WHEN more > 3 THEN 'FAIL' WHEN more > 1.5 THEN 'WARN' ELSE 'PASS' END, CASE WHEN more > 3 THEN 'HIGH' WHEN more > 1.5 THEN 'MEDIUM' ELSE 'INFO' END, more FROM s)
-SELECT series_id, 7 AS phase_no, 'overfitting' AS phase, "check", verdict, severity, round(value, 9) AS value FROM f""")
+SELECT series_id, 7 AS phase_no, 'overfitting' AS phase, "check", verdict, severity, round(value, 6) AS value FROM f""")
 def overfit_screen(spark, sf_dir):
     p = v_pred(spark, sf_dir).where("model = 'naive'").withColumn("split", F.when(F.col("t") < 60, "train").otherwise("test"))
     return rounded(review.overfitting(p))
