@@ -37,6 +37,16 @@ def test_paraphrase_and_edge_cases(spark):
     assert without_leaks(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_blocks_and_chunks_give_the_same(spark, sf_dir, monkeypatch):
+    from tidewright.llm import leaks
+
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    want = {(r.doc_id, r.item_id) for r in leak_pairs(docs, bench).collect()}
+    monkeypatch.setattr(leaks, "BLOCK", 7)
+    monkeypatch.setattr(leaks, "CHUNK", 2)
+    assert {(r.doc_id, r.item_id) for r in leak_pairs(docs, bench).collect()} == want and want
+
+
 def test_weighted_lcs():
     rng = np.random.default_rng(2)
     for _ in range(50):

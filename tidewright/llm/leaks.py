@@ -11,10 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, flat, settle
+from .common import discard, each_text, flat, settle
 
-#: Items searched together, and latent dimensions with their surplus.
-BLOCK, RANK, SURPLUS = 256, 96, 16
+#: Blocks for which texts are read once, items searched together, and latent dimensions with their surplus.
+CHUNK, BLOCK, RANK, SURPLUS = 32, 256, 96, 16
 #: Terms in more than this share of documents take no part in the vectors, but for the RAREST of each item.
 COMMON, RAREST = 0.02, 8
 #: Least cosine of a candidate; least share of an item's weight found in order; that of its answer; share beyond which the answer isn't asked for.
@@ -30,29 +30,48 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-class Items:
-    """A block of benchmark passages in its own vocabulary."""
+class Chunk:
+    """Benchmark passages that share one vocabulary, so that the corpus is read once for all of them."""
 
     def __init__(self, rows: list[tuple[int, list[str]]]):
         self.ids = np.array([i for i, _ in rows], np.int64)
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in rows for w in words))}
         self.words = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in rows]
-        self.window = 2 * max(len(w) for w in self.words)
 
-    def weigh(self, df: np.ndarray, n: int) -> None:
-        """Inverse document frequencies, and the terms that take part in the vectors."""
-        self.idf = np.log((1 + n) / (1 + df)) + 0.05
-        taking = df <= COMMON * n
-        for w in self.words:
-            own = np.unique(w)
-            taking[own[np.argsort(df[own], kind="stable")[:RAREST]]] = True
-        self.weight = np.where(taking, self.idf, 0.0).astype(np.float32)
+    def blocks(self, df: np.ndarray, n: int) -> Iterator[Items]:
+        idf = np.log((1 + n) / (1 + df)) + 0.05
+        for k in range(0, len(self.ids), BLOCK):
+            yield Items(self.ids[k : k + BLOCK], self.words[k : k + BLOCK], df, n, idf)
+
+
+class Items:
+    """A block of passages that are searched together.
+
+    idf: inverse document frequencies of the chunk's terms; weight: the same for the block's terms
+    that take part in the vectors, else 0; local: their places in the block's own vocabulary.
+    """
+
+    def __init__(self, ids: np.ndarray, words: list[np.ndarray], df: np.ndarray, n: int, idf: np.ndarray):
+        self.ids, self.words, self.idf = ids, words, idf
+        self.window = 2 * max(len(w) for w in words)
+        own = np.unique(np.concatenate(words))
+        self.size = len(own)
+        self.local = np.full(len(df), -1, np.int64)
+        self.local[own] = np.arange(len(own))
+        taking = np.zeros(len(df), bool)
+        taking[own[df[own] <= COMMON * n]] = True
+        for w in words:
+            each = np.unique(w)
+            taking[each[np.argsort(df[each], kind="stable")[:RAREST]]] = True
+        self.weight = np.where(taking, idf, 0.0).astype(np.float32)
 
     def vectors(self) -> np.ndarray:
-        out = np.zeros((len(self.words), len(self.vocabulary)), np.float32)
+        out = np.zeros((len(self.words), self.size), np.float32)
+        weight = np.zeros(self.size, np.float32)
         for k, w in enumerate(self.words):
-            np.add.at(out[k], w, 1)
-        out = np.sqrt(out) * self.weight
+            np.add.at(out[k], self.local[w], 1)
+            weight[self.local[w]] = self.weight[w]
+        out = np.sqrt(out) * weight
         return out / np.maximum(np.sqrt((out * out).sum(axis=1, keepdims=True)), 1e-30)
 
 
@@ -113,10 +132,11 @@ def _passages(place: pa.Array, term: pa.Array, weight: np.ndarray, span: int, li
         lo = hi
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], weight: np.ndarray, span: int, omega: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+def _sketch(batches: Iterator[pa.RecordBatch], weight: np.ndarray, local: np.ndarray, span: int, omega: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
     """Sum of a (a omega) over passages a, in parts of rows, and the number of passages."""
     total, n = np.zeros(omega.shape, np.float32), 0
     for _, _, term, value, new in (p for b in batches for p in _passages(b.column(0), b.column(1), weight, span)):
+        term = local[term]
         y = np.add.reduceat(omega[term] * value[:, None], new, axis=0)
         spread = np.repeat(y, np.diff(np.r_[new, len(term)]), axis=0) * value[:, None]
         order = np.argsort(term, kind="stable")
@@ -151,10 +171,10 @@ def latent_basis(terms: DataFrame, items: Items, rank: int = RANK, surplus: int
     that the benchmark's passages are represented. What reaches the driver is terms x (rank +
     surplus) numbers, bounded by the block whatever the size of the corpus.
     """
-    size, width = len(items.vocabulary), min(rank + surplus, len(items.vocabulary))
+    size, width = items.size, min(rank + surplus, items.size)
     omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0].astype(np.float32)
-    weight, span, parts = items.weight, items.window, 16
-    sums = terms.select("place", "term").mapInArrow(lambda b: _sketch(b, weight, span, omega, parts), "part int, n long, rows binary")
+    weight, local, span, parts = items.weight, items.local, items.window, 16
+    sums = terms.select("place", "term").mapInArrow(lambda b: _sketch(b, weight, local, span, omega, parts), "part int, n long, rows binary")
     sums = sums.repartition(parts, "part").mapInArrow(_added, "part int, n long, rows binary").collect()
     total = np.zeros((size, width))
     at = np.cumsum([0, *(len(x) for x in np.array_split(np.arange(size), parts))])
@@ -192,7 +212,7 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
         best: dict[tuple[int, int], tuple] = {}
         (at, offsets), (term, _) = _ints(batch.column(2)), _ints(batch.column(3))
         for doc, window, own, value, new in _passages(batch.column(2), batch.column(3), items.weight, items.window):
-            y = np.add.reduceat(basis[own] * value[:, None], new, axis=0)
+            y = np.add.reduceat(basis[items.local[own]] * value[:, None], new, axis=0)
             y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-30)
             cos = y @ look.T
             rows, cols = np.nonzero(cos >= COSINE)
@@ -219,17 +239,17 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(items.ids[[c for _, c in best]]), *(pa.array([x[k] for x in best.values()]) for k in (2, 0, 1))], ["d", "t", "item_id", "cosine", "share", "answer"])
 
 
-def _blocks_of(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Items]:
-    """Items by length, a block at a time; the benchmark itself is read in the order of its length."""
+def _chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Chunk]:
+    """Items by length, a chunk at a time; the benchmark itself is read in the order of its length."""
     rows = []
     for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("x")).where("i is not null and x is not null").orderBy(F.length("x"), "i").toLocalIterator():
         words = words_of(r.x)
         rows += [(r.i, words[k : k + LONGEST]) for k in range(0, len(words), LONGEST)]
-        while len(rows) >= BLOCK:
-            yield Items(rows[:BLOCK])
-            rows = rows[BLOCK:]
+        while len(rows) >= CHUNK * BLOCK:
+            yield Chunk(rows[: CHUNK * BLOCK])
+            rows = rows[CHUNK * BLOCK :]
     if rows:
-        yield Items(rows)
+        yield Chunk(rows)
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -244,27 +264,29 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     an item in the latent space is COSINE or more is a candidate; an item is held if a common
     subsequence of both carries SHARE of its weight (inverse document frequencies over all
     documents) and one of its last third, the answer, ANSWER of that, or PLAIN of the whole.
-    The benchmark is taken in blocks of BLOCK items, each of which bounds what is sent to the tasks.
+    Texts are read once for CHUNK blocks of BLOCK items, which bound what is sent to the tasks; each
+    block then has its own latent space and reads the places of its terms only.
     Null, empty and wordless texts and items hold nothing; items without an id are left out; an
     empty table on either side gives an empty result.
     """
     rows = _keyed(docs, doc_id, text).where("text is not null")
     out = None
-    for items in _blocks_of(benchmark, item_id, item_text):
-        vocabulary, size = items.vocabulary, len(items.vocabulary)
+    for chunk in _chunks(benchmark, item_id, item_text):
+        vocabulary, size = chunk.vocabulary, len(chunk.vocabulary)
         terms = settle(rows.mapInArrow(lambda b, v=vocabulary: _terms(b, v), "d long, t long, place binary, term binary"))
         df = np.zeros(size, np.int64)
         counted = terms.select("term").mapInArrow(lambda b, n=size: _frequencies(b, n), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
-        for r in counted.collect():  # one row for each term of the block
+        for r in counted.collect():  # one row for each term of the chunk
             df[r.term] = r.n
         n = terms.count()
         if not n:
             break
-        items.weigh(df, n)
-        basis = latent_basis(terms, items)
-        found = terms.where(F.length("term") > 0).mapInArrow(lambda b, i=items, v=basis: _verified(b, i, v), "d long, t long, item_id long, cosine double, share double, answer double")
-        found = settle(found)
-        out = found if out is None else out.union(found)
+        for items in chunk.blocks(df, n):
+            basis = latent_basis(terms, items)
+            found = terms.where(F.length("term") > 0).mapInArrow(lambda b, i=items, v=basis: _verified(b, i, v), "d long, t long, item_id long, cosine double, share double, answer double")
+            found = settle(found)
+            out = found if out is None else out.union(found)
+        discard(terms)
     if out is None:
         return rows.select("d", "t", F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("cosine", "share", "answer"))).where("false")
     best = out.groupBy("d", "t", "item_id").agg(F.max(F.struct("share", "answer", "cosine")).alias("b"))
