@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import probes, stats, sysid
+from ..operators import probes, stationarity, stats, sysid
 from ..sources.tables import V_MONTH, table, v_month
 from .ledger_queries import _io
 from .review_queries import rounded
@@ -87,3 +87,13 @@ def sparse_dynamics(spark, sf_dir):
 @query("structure_comparison")
 def structure_comparison(spark, sf_dir):
     return rounded(sysid.compare_families(_io(spark, sf_dir), [1], [1]))
+
+
+@query("unit_root_tests")
+def unit_root_tests(spark, sf_dir):
+    return rounded(stationarity.unit_root_tests(v_month(spark, sf_dir)))
+
+
+@query("stationarity_findings")
+def stationarity_findings(spark, sf_dir):
+    return rounded(stationarity.stationarity_findings(v_month(spark, sf_dir)))
