@@ -75,6 +75,19 @@ def test_anchors_cover_each_window_once():
             assert windows.setdefault(data[i : i + 50].tobytes(), (p - i, x)) == (p - i, x)
 
 
+def test_long_documents_are_taken_in_pieces():
+    rng = np.random.default_rng(2)
+    lens = [700, 0, 49, 50, 1300, 51, 260, 261]
+    data, ends = rng.integers(97, 103, sum(lens)).astype(np.uint8), np.r_[0, np.cumsum(lens)]
+
+    def windows(limit):
+        place, h, first, count = all_anchors(data, ends, 50, limit)
+        return sorted((int(i), int(p), int(x)) for p, x, a, c in zip(place, h, first, count, strict=True) for i in range(a, a + c))
+
+    whole = windows(1 << 22)
+    assert whole == windows(256) == windows(100) and len(whole) == sum(max(0, n - 49) for n in lens)
+
+
 def test_suffix_order():
     text = np.frombuffer(b"abcabcabcabxabcabc" * 8, np.uint8)
     places = np.arange(len(text) - 12)

@@ -78,10 +78,10 @@ def pieces(ends: np.ndarray, length: int, limit: int = 1 << 22):
         i = j
 
 
-def all_anchors(data: np.ndarray, ends: np.ndarray, length: int) -> list[np.ndarray]:
+def all_anchors(data: np.ndarray, ends: np.ndarray, length: int, limit: int = 1 << 22) -> list[np.ndarray]:
     """place, hash, first, count of all anchors, with bounded memory besides the result."""
     found = []
-    for lo, hi, own in pieces(ends, length):
+    for lo, hi, own in pieces(ends, length, limit):
         place, h, first, count = anchors(data[lo:hi], own, length)
         found.append((place + lo, h, first + lo, count))
     if not found:
