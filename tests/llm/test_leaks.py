@@ -56,3 +56,43 @@ def test_weighted_lcs():
             for j in range(15):
                 t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + w[a[i]] if a[i] == b[j] else 0)
         assert abs(weighted_lcs(a, b, w) - t[-1, -1]) < 1e-12
+
+
+def test_all_windows_that_pass_the_checks_are_found(spark):
+    """Short items put whole or with words dropped into documents, beside one long item that makes windows wide; each window is checked in plain Python."""
+    from tidewright.llm import leaks
+
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"v{int(x)}" for x in rng.integers(0, 1500, n)]
+    items = {i: draw(15) for i in range(239)} | {239: draw(256)}
+    texts = {}
+    for d in range(300):
+        texts[d] = draw(700)
+        if d < 239:
+            texts[d][300:300] = [w for w in items[d] if d % 2 or rng.random() > 0.2]
+    n, df = len(texts), {}
+    for own in texts.values():
+        for w in set(own):
+            df[w] = df.get(w, 0) + 1
+    code = {w: k for k, w in enumerate(dict.fromkeys(w for x in items.values() for w in x))}
+    idf = np.array([np.log((1 + n) / (1 + df.get(w, 0))) + 0.05 for w in code])
+    coded = {i: np.array([code[w] for w in words]) for i, words in items.items()}
+    want = set()
+    for d, own in texts.items():
+        seq = np.array([code.get(w, -1) for w in own])
+        for at in range(-256, len(own), 256):
+            window = seq[max(0, at) : at + 512]
+            window = window[window >= 0]
+            some = np.zeros(len(code), bool)
+            some[window] = True
+            for i, a in coded.items():
+                whole, tail = idf[a].sum(), a[-(len(a) // 3) :]
+                if idf[a][some[a]].sum() < leaks.SHARE * whole or (share := weighted_lcs(a, window, idf) / whole) < leaks.SHARE:
+                    continue
+                if share >= leaks.PLAIN or weighted_lcs(tail, window, idf) / idf[tail].sum() >= leaks.ANSWER:
+                    want.add((d, i))
+    assert {(d, d) for d in range(1, 239, 2)} <= want
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in leak_pairs(docs, bench).collect()}
+    assert got == want, f"{len(want - got)} of {len(want)} lost, {len(got - want)} more"

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: latent semantic candidates, then subsequence and answer checks."""
+"""Benchmark decontamination: exact candidates by weight, their latent cosine, then subsequence and answer checks."""
 
 from __future__ import annotations
 
@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from .common import discard, each_text, flat, settle
 
 #: Blocks for which texts are read once, items searched together, and latent dimensions with their surplus.
-CHUNK, BLOCK, RANK, SURPLUS = 32, 256, 96, 16
-#: Terms in more than this share of documents take no part in the vectors, but for the RAREST of each item.
-COMMON, RAREST = 0.02, 8
-#: Least cosine of a candidate; least share of an item's weight found in order; that of its answer; share beyond which the answer isn't asked for.
-COSINE, SHARE, ANSWER, PLAIN = 0.3, 0.6, 0.5, 0.8
+CHUNK, BLOCK, RANK, SURPLUS = 32, 256, 256, 32
+#: Terms in more than this share of documents take no part in the vectors, but for the RAREST of each item, and as many more as carry all but SHARE of its weight.
+COMMON, RAREST = 0.1, 8
+#: Least share of an item's weight found in order; that of its answer; share beyond which the answer isn't asked for.
+SHARE, ANSWER, PLAIN = 0.6, 0.5, 0.8
 #: Longest item in words; longer ones are cut into items of that length, so that windows stay short.
 LONGEST = 256
 SEED = 11
@@ -61,9 +61,28 @@ class Items:
         taking = np.zeros(len(df), bool)
         taking[own[df[own] <= COMMON * n]] = True
         for w in words:
-            each = np.unique(w)
-            taking[each[np.argsort(df[each], kind="stable")[:RAREST]]] = True
+            each, times = np.unique(w, return_counts=True)
+            order = np.argsort(df[each], kind="stable")
+            heavy = np.cumsum((times * idf[each])[order])
+            taking[each[order[: max(RAREST, 1 + int(np.searchsorted(heavy, (1 - SHARE) * heavy[-1], "right")))]]] = True
         self.weight = np.where(taking, idf, 0.0).astype(np.float32)
+        # For each term that takes part, the items that have it and what it weighs in them; for each item, the least such weight of a window that has SHARE of the item.
+        parts = [np.unique(w[taking[w]], return_counts=True) for w in words]
+        term, times = (np.concatenate([p[k] for p in parts]) for k in range(2))
+        order = np.argsort(self.local[term], kind="stable")
+        self.item = np.repeat(np.arange(len(words)), [len(p[0]) for p in parts])[order]
+        self.share = (times * idf[term])[order]
+        self.first = np.searchsorted(self.local[term][order], np.arange(self.size + 1))
+        whole = np.array([idf[w].sum() for w in words])
+        self.least = SHARE * whole - (whole - np.bincount(self.item, self.share, len(words))) - 1e-9 * whole
+
+    def reached(self, term: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Passages and items, by passage, where the passage may have SHARE of the item's weight in any order; no other pair has."""
+        passage = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(term)]))
+        start, n = self.first[self.local[term]], np.diff(self.first)[self.local[term]]
+        at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        held = np.bincount(np.repeat(passage, n) * len(self.words) + self.item[at], self.share[at], len(new) * len(self.words))
+        return np.nonzero(held.reshape(len(new), -1) >= self.least)
 
     def vectors(self) -> np.ndarray:
         out = np.zeros((len(self.words), self.size), np.float32)
@@ -212,11 +231,8 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
         best: dict[tuple[int, int], tuple] = {}
         (at, offsets), (term, _) = _ints(batch.column(2)), _ints(batch.column(3))
         for doc, window, own, value, new in _passages(batch.column(2), batch.column(3), items.weight, items.window):
-            y = np.add.reduceat(basis[items.local[own]] * value[:, None], new, axis=0)
-            y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-30)
-            cos = y @ look.T
-            rows, cols = np.nonzero(cos >= COSINE)
-            part, held = None, None
+            rows, cols = items.reached(own, new)
+            stops, part, held = np.r_[new[1:], len(own)], None, None
             for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
                 d, w = int(doc[new[r]]), int(window[new[r]])
                 if part != r:
@@ -233,7 +249,9 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
                     continue
                 answer = weighted_lcs(answers[c], seq, items.idf) / ends[c]
                 if answer >= ANSWER or share >= PLAIN:
-                    best[d, c] = max(best.get((d, c), (0.0, 0.0, 0.0)), (share, answer, float(cos[r, c])))
+                    y = value[new[r] : stops[r]] @ basis[items.local[own[new[r] : stops[r]]]]
+                    cosine = float(y @ look[c] / max(np.sqrt(y @ y), 1e-30))
+                    best[d, c] = max(best.get((d, c), (0.0, 0.0, -1.0)), (share, answer, cosine))
         if best:
             rows = pa.array([d for d, _ in best])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(items.ids[[c for _, c in best]]), *(pa.array([x[k] for x in best.values()]) for k in (2, 0, 1))], ["d", "t", "item_id", "cosine", "share", "answer"])
@@ -260,10 +278,11 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """d, t, item_id, cosine, share, answer: the benchmark passages that documents hold.
 
-    Passages are overlapping windows of twice the longest item's words. A window whose cosine with
-    an item in the latent space is COSINE or more is a candidate; an item is held if a common
-    subsequence of both carries SHARE of its weight (inverse document frequencies over all
-    documents) and one of its last third, the answer, ANSWER of that, or PLAIN of the whole.
+    Passages are overlapping windows of twice the longest item's words. A window that can have SHARE
+    of an item's weight (inverse document frequencies over all documents) in any order is a
+    candidate, whatever its cosine with the item in the latent space, which is told for what is
+    found; an item is held if a common subsequence of both carries SHARE of its weight and one of
+    its last third, the answer, ANSWER of that, or PLAIN of the whole.
     Texts are read once for CHUNK blocks of BLOCK items, which bound what is sent to the tasks; each
     block then has its own latent space and reads the places of its terms only.
     Null, empty and wordless texts and items hold nothing; items without an id are left out; an
