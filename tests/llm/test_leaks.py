@@ -96,3 +96,18 @@ def test_all_windows_that_pass_the_checks_are_found(spark):
     bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in leak_pairs(docs, bench).collect()}
     assert got == want, f"{len(want - got)} of {len(want)} lost, {len(got - want)} more"
+
+
+def test_long_items_are_judged_whole(spark):
+    """An item of 257 words, whose last word stands in many documents, and one of 700; documents with all, most or one part of them."""
+    rng = np.random.default_rng(8)
+    draw = lambda n, a: [f"{a}{int(x)}" for x in rng.integers(0, 400, n)]
+    short, long = [*draw(256, "s"), "plain"], draw(700, "l")
+    most = [w for w in long if rng.random() > 0.25]
+    texts = {1: short, 2: long, 3: most, 4: long[:256], 5: long[444:], 6: short[:100], 7: [*short[:128], *short[129:]]}
+    texts = {d: [*draw(300, "f"), *x, *draw(300, "f")] for d, x in texts.items()} | {100 + d: [*draw(150, "f"), "plain", *draw(150, "f")] for d in range(80)}
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(short)), (2, " ".join(long))], "item_id long, text string")
+    got = leak_pairs(docs, bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 2), (7, 1)]
+    assert all(abs(r.share - 1) < 1e-9 and abs(r.answer - 1) < 1e-9 for r in got if r.doc_id < 3)

@@ -19,7 +19,7 @@ CHUNK, BLOCK, RANK, SURPLUS = 32, 256, 256, 32
 COMMON, RAREST = 0.1, 8
 #: Least share of an item's weight found in order; that of its answer; share beyond which the answer isn't asked for.
 SHARE, ANSWER, PLAIN = 0.6, 0.5, 0.8
-#: Longest item in words; longer ones are cut into items of that length, so that windows stay short.
+#: Longest item in words that is searched in one piece; longer ones are searched in even pieces, so that windows stay short, and judged whole.
 LONGEST = 256
 SEED = 11
 LAST = (1 << 63) - 1
@@ -30,29 +30,42 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def cuts(n: int) -> list[tuple[int, int]]:
+    """Starts and stops of the pieces of n words: as few as LONGEST allows, of lengths that differ by one at most.
+
+    A common subsequence with a share of the whole's weight has that share of some piece's too, so
+    pieces need not overlap to find all items that are then judged whole.
+    """
+    k = -(-n // LONGEST)
+    return [(n * j // k, n * (j + 1) // k) for j in range(k)]
+
+
 class Chunk:
     """Benchmark passages that share one vocabulary, so that the corpus is read once for all of them."""
 
     def __init__(self, rows: list[tuple[int, list[str]]]):
-        self.ids = np.array([i for i, _ in rows], np.int64)
         self.vocabulary = {w: k for k, w in enumerate(dict.fromkeys(w for _, words in rows for w in words))}
-        self.words = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in rows]
+        wholes = [np.array([self.vocabulary[w] for w in words], np.int64) for _, words in rows]
+        #: Id of the item, its words, and where in it the piece starts and stops.
+        self.pieces = [(i, whole, a, b) for (i, _), whole in zip(rows, wholes, strict=True) for a, b in cuts(len(whole))]
 
     def blocks(self, df: np.ndarray, n: int) -> Iterator[Items]:
         idf = np.log((1 + n) / (1 + df)) + 0.05
-        for k in range(0, len(self.ids), BLOCK):
-            yield Items(self.ids[k : k + BLOCK], self.words[k : k + BLOCK], df, n, idf)
+        for k in range(0, len(self.pieces), BLOCK):
+            yield Items(self.pieces[k : k + BLOCK], df, n, idf)
 
 
 class Items:
     """A block of passages that are searched together.
 
+    wholes: the items of which the passages are pieces, and where these start and stop in them;
     idf: inverse document frequencies of the chunk's terms; weight: the same for the block's terms
     that take part in the vectors, else 0; local: their places in the block's own vocabulary.
     """
 
-    def __init__(self, ids: np.ndarray, words: list[np.ndarray], df: np.ndarray, n: int, idf: np.ndarray):
-        self.ids, self.words, self.idf = ids, words, idf
+    def __init__(self, pieces: list[tuple[int, np.ndarray, int, int]], df: np.ndarray, n: int, idf: np.ndarray):
+        self.ids, self.wholes, self.idf = np.array([p[0] for p in pieces], np.int64), [p[1:] for p in pieces], idf
+        self.words = words = [whole[a:b] for _, whole, a, b in pieces]
         self.window = 2 * max(len(w) for w in words)
         own = np.unique(np.concatenate(words))
         self.size = len(own)
@@ -224,11 +237,25 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
     """d, t, place, term -> the items that a document has, with its best window's cosine and shares."""
     look = items.vectors() @ basis
     look /= np.maximum(np.sqrt((look * look).sum(axis=1, keepdims=True)), 1e-30)
-    answers = [w[-max(1, len(w) // 3) :] for w in items.words]
+    answers = [w[-max(1, len(w) // 3) :] for w, _, _ in items.wholes]
     whole, ends = [items.idf[w].sum() for w in items.words], [items.idf[w].sum() for w in answers]
     half = items.window // 2
+
+    def judged(c: int, d: int, w: int) -> tuple[float, float]:
+        """Shares of the whole item and of its answer around a window with SHARE of a piece, twice as many words to either side as the item has there."""
+        words, a, b = items.wholes[c]
+        own = at[offsets[d] : offsets[d + 1]]
+        lo, hi = offsets[d] + np.searchsorted(own, [w * half - 2 * a, w * half + items.window + 2 * (len(words) - b)])
+        seq, total = term[lo:hi], items.idf[words].sum()
+        held = np.zeros(len(items.idf), bool)
+        held[seq] = True
+        if items.idf[words][held[words]].sum() < SHARE * total:
+            return 0.0, 0.0
+        return weighted_lcs(words, seq, items.idf) / total, weighted_lcs(answers[c], seq, items.idf) / ends[c]
+
     for batch in batches:
         best: dict[tuple[int, int], tuple] = {}
+        known: dict[tuple[int, int], tuple[float, float]] = {}  # by document and item: long ones that have been found by another piece
         (at, offsets), (term, _) = _ints(batch.column(2)), _ints(batch.column(3))
         for doc, window, own, value, new in _passages(batch.column(2), batch.column(3), items.weight, items.window):
             rows, cols = items.reached(own, new)
@@ -247,7 +274,14 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
                 share = weighted_lcs(words, seq, items.idf) / whole[c]
                 if share < SHARE:
                     continue
-                answer = weighted_lcs(answers[c], seq, items.idf) / ends[c]
+                if len(words) < len(items.wholes[c][0]):
+                    share, answer = known.get((d, int(items.ids[c]))) or judged(c, d, w)
+                    if share < SHARE:
+                        continue
+                    if answer >= ANSWER or share >= PLAIN:
+                        known[d, int(items.ids[c])] = share, answer
+                else:
+                    answer = weighted_lcs(answers[c], seq, items.idf) / ends[c]
                 if answer >= ANSWER or share >= PLAIN:
                     y = value[new[r] : stops[r]] @ basis[items.local[own[new[r] : stops[r]]]]
                     cosine = float(y @ look[c] / max(np.sqrt(y @ y), 1e-30))
@@ -258,14 +292,17 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
 
 
 def _chunks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[Chunk]:
-    """Items by length, a chunk at a time; the benchmark itself is read in the order of its length."""
-    rows = []
+    """Items by length, a chunk at a time; the benchmark itself is read in the order of its length. No item is in two chunks."""
+    rows, n = [], 0
     for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("x")).where("i is not null and x is not null").orderBy(F.length("x"), "i").toLocalIterator():
         words = words_of(r.x)
-        rows += [(r.i, words[k : k + LONGEST]) for k in range(0, len(words), LONGEST)]
-        while len(rows) >= CHUNK * BLOCK:
-            yield Chunk(rows[: CHUNK * BLOCK])
-            rows = rows[CHUNK * BLOCK :]
+        more = len(cuts(len(words)))
+        if rows and n + more > CHUNK * BLOCK:
+            yield Chunk(rows)
+            rows, n = [], 0
+        if more:
+            rows.append((r.i, words))
+            n += more
     if rows:
         yield Chunk(rows)
 
@@ -282,7 +319,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     of an item's weight (inverse document frequencies over all documents) in any order is a
     candidate, whatever its cosine with the item in the latent space, which is told for what is
     found; an item is held if a common subsequence of both carries SHARE of its weight and one of
-    its last third, the answer, ANSWER of that, or PLAIN of the whole.
+    its last third, the answer, ANSWER of that, or PLAIN of the whole. Items of more than LONGEST
+    words are searched in even pieces; around a piece that is found the whole item is judged so.
     Texts are read once for CHUNK blocks of BLOCK items, which bound what is sent to the tasks; each
     block then has its own latent space and reads the places of its terms only.
     Null, empty and wordless texts and items hold nothing; items without an id are left out; an
