@@ -9,7 +9,7 @@ from tidewright.llm.common import settle
 from tidewright.llm.language import in_known_language
 from tidewright.llm.leaks import without_leaks
 from tidewright.llm.mixing import mix
-from tidewright.llm.simhash import one_of_each
+from tidewright.llm.shingles import without_near_duplicates
 from tidewright.llm.store import token_store
 
 
@@ -19,8 +19,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return one_of_each(docs)
+    """One document of each group of near-duplicates stays: five-word shingles, 0.8 or more of them in common."""
+    return without_near_duplicates(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

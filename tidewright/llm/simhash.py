@@ -35,14 +35,14 @@ def masks(radius: int = RADIUS, bits: int = 64, seed: int = 7) -> np.ndarray:
     return (odd << np.arange(bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
-def shingle_hashes(text: bytes) -> list[int]:
+def shingle_hashes(text: bytes, size: int = SHINGLE) -> list[int]:
     words = text.lower().split()  # ASCII letters and ASCII white space only, as these are bytes
-    if len(words) < SHINGLE:
+    if len(words) < size:
         return [xxhash.xxh64_intdigest(b" ".join(words), SEED)] if words else []
     joined, digest = b" ".join(words), xxhash.xxh64_intdigest
     ends = [e + i for i, e in enumerate(accumulate(map(len, words)))]
-    starts = [0, *(e + 1 for e in ends[: 1 - SHINGLE - 1])]
-    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :], strict=False)]
+    starts = [0, *(e + 1 for e in ends[:-size])]
+    return [digest(joined[s:e], SEED) for s, e in zip(starts, ends[size - 1 :], strict=False)]
 
 
 def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
