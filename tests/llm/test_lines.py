@@ -34,3 +34,36 @@ def test_edge_cases(spark):
     assert dedup_lines(docs.limit(0)).collect() == []
     twice = spark.createDataFrame([(1, "a\nb\nc"), (1, "a\nb\nc")], "doc_id long, text string")
     assert [r.n_removed for r in dedup_lines(twice).collect()] == [0, 0]
+
+
+def brute_long(rows, length):
+    """All runs of length bytes or more, whatever their lines, that occur earlier."""
+    seen, out = set(), []
+    for d, t in sorted(rows, key=lambda r: (r[0] is None, r[0])):
+        lines = [] if t is None else t.split("\n")
+        gone = set()
+        for i in range(len(lines)):
+            for j in range(i, len(lines)):
+                k = tuple(lines[i : j + 1])
+                if sum(len(x.encode()) + 1 for x in k) >= length:
+                    if k in seen:
+                        gone |= set(range(i, j + 1))
+                    seen.add(k)
+        runs = sum(1 for i in gone if i - 1 not in gone)
+        out.append((d, len(lines), len(gone), runs, None if t is None else "\n".join(x for i, x in enumerate(lines) if i not in gone)))
+    return sorted(out, key=repr)
+
+
+def test_runs_by_length_of_text(spark):
+    from tidewright.llm.lines import dedup_long_lines
+
+    rng = random.Random(2)
+    long = " ".join(f"w{i}" for i in range(129))
+    rows = [(1, long), (2, long), (3, f"a\n{long}\nb"), (4, None), (5, ""), (6, "\n" * 60), (7, "é" * 30 + "\nz"), (8, "x\n" + "é" * 30), (None, long)]
+    rows += [(20 + i, "\n".join(rng.choice("abc") * rng.choice((0, 1, 2, 9)) for _ in range(rng.randint(0, 25)))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for length in (1, 12, 40):
+        assert sorted((tuple(r) for r in dedup_long_lines(docs, length=length).collect()), key=repr) == brute_long(rows, length)
+    kept = {r.doc_id: r.kept for r in dedup_long_lines(docs).collect()}
+    assert kept[1] == long and kept[2] == "" and kept[3] == "a\nb" and kept[None] == ""
+    assert dedup_long_lines(docs.limit(0)).collect() == []

@@ -1,15 +1,22 @@
-"""Line dedup by winnowing over line hashes; DataFrame functions only."""
+"""Line dedup by winnowing over line hashes, DataFrame functions only; by length of text besides."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import each_text, settle
 from .native import let
 
 #: Lines in a gram, and grams in a winnowing window: runs of GRAM + WINDOW - 1 lines always share a fingerprint.
 GRAM, WINDOW = 2, 2
+#: Least bytes, line ends included, of a repeated run that is judged by its length.
+LENGTH = 40
 #: Documents without an id come after all others.
 LAST = (1 << 63) - 1
 
@@ -73,7 +80,12 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gra
     """
     run = gram + window - 1
     starts = repeated_runs(docs, doc_id, text, gram, window).withColumn("runs", _joined(F.col("starts"), run)).select("d", "t", "runs")
-    out = _keyed(docs, doc_id, text).join(starts, ["d", "t"], "left")
+    return _without(_keyed(docs, doc_id, text), starts)
+
+
+def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
+    """keyed and d, t, runs -> the rows without the lines of their runs, and counts of both."""
+    out = keyed.join(gone, ["d", "t"], "left")
     runs = F.coalesce("runs", F.array().cast("array<struct<start:int,stop:int>>"))
     out = out.select("doc_id", _lines(F.col("text")).alias("lines"), runs.alias("runs"), F.col("text").isNull().alias("none"))
 
@@ -87,6 +99,44 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gra
     return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.when(~F.col("none"), F.array_join(kept, "\n")).alias("kept"))
 
 
+def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """d, t, text -> where the shortest runs of length bytes or more begin, their lines and two hashes; from each line on and up to each line."""
+    for batch in batches:
+        for x, text in enumerate(each_text(batch.column(2))):
+            stops = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1, len(text) + 1)
+            starts = np.r_[0, stops[:-1]]
+            last = np.searchsorted(stops, starts + length)
+            first = np.searchsorted(starts, stops - length, "right") - 1
+            at = np.arange(len(stops))
+            pairs = np.unique(np.r_[np.c_[at, last][last < len(stops)], np.c_[first, at][first >= 0]], axis=0)
+            if not len(pairs):
+                continue
+            cut = [text[a:b] for a, b in zip(starts[pairs[:, 0]].tolist(), (stops[pairs[:, 1]] - 1).tolist(), strict=True)]
+            keys = np.array([(xxhash.xxh3_64_intdigest(c), xxhash.xxh64_intdigest(c)) for c in cut], np.uint64).view(np.int64)
+            d, t = (pa.array([batch.column(k)[x].as_py()] * len(cut), pa.int64()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([d, t, pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["d", "t", "at", "last", "k1", "k2"])
+
+
+def dedup_long_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """The columns of dedup_lines, where runs are judged by their text: one long line is enough.
+
+    A line is removed if it lies in a run of lines, of length bytes or more with their line ends,
+    that occurs, line by line, at an earlier place. Such a run is the union of the shortest ones
+    that begin at each of its lines, as long as they end in it, and of those that end at each; equal
+    runs are parted equally, so the shortest ones need only be grouped by their text. A line is in
+    as many rows as it has ends. Ids, nulls and order are those of dedup_lines.
+    """
+    rows = _keyed(docs, doc_id, text)
+    runs = rows.where("text is not null").select("d", "t", "text").mapInArrow(lambda b: _stretches(b, length), "d long, t long, at int, last int, k1 long, k2 long")
+    runs = settle(runs.dropDuplicates(["d", "t", "at", "last"]))
+    place = F.struct("d", "t", "at")
+    first = runs.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").drop("end")
+    later = runs.join(first, ["k1", "k2"]).where(place > F.col("first"))
+    lines = later.select("d", "t", F.explode(F.sequence("at", "last")).alias("line"))
+    gone = lines.groupBy("d", "t").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return _without(rows, gone.select("d", "t", _joined(F.col("lines"), 1).alias("runs")))
+
+
 def line_digests(docs: DataFrame, **how) -> DataFrame:
     """dedup_lines with the MD5 of the kept text (null: of nothing) in place of it."""
     return dedup_lines(docs, **how).withColumn("kept_md5", F.md5(F.coalesce("kept", F.lit("")))).drop("kept")

@@ -11,7 +11,7 @@ from .counts import token_counts
 from .language import document_languages, page_languages
 from .leaks import leak_pairs
 from .lines import SQL as LINES_SQL
-from .lines import line_digests
+from .lines import dedup_long_lines, line_digests
 from .mixing import SQL as MIX_SQL
 from .mixing import mix_sizes
 from .nearest import nearest
@@ -40,6 +40,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_digests(_documents(spark, sf_dir))
 
 
+def long_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Beside op3, whose SQL asks for runs of three lines: repeated runs by their length of text, from one line up."""
+    return dedup_long_lines(_documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sizes(_documents(spark, sf_dir))
 
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_benchmark_leaks": op8_benchmark_leaks,
     "op9_token_store": op9_token_store,
     "op10_repeats": op10_repeats,
+    "long_line_dedup": long_line_dedup,
     "pages_language_id": pages_language_id,
 }
 
