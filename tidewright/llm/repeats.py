@@ -1,11 +1,12 @@
-"""Repeated strings across documents, removed from all but the first, by longest-previous-factor arrays.
+"""Repeated strings across documents, removed from all but the first, by groups of equal prefixes.
 
 All suffixes of a large corpus cannot be sorted in one place. Every string of LENGTH bytes has one
 anchor, a short gram that its content alone picks, so equal strings have equal anchors:
 
 1. anchors that only one document has are left out, by their hashes alone;
-2. the bytes around the others go to the task of their anchor, which sorts the suffixes there and
-   looks, in suffix order, for previous and next smaller documents that share LENGTH bytes;
+2. the bytes around the others go to the task of their anchor, which ranks the LENGTH bytes from
+   each place there and looks for the least document of each rank; suffixes are not ordered beyond
+   LENGTH bytes, and no longest previous factors are made;
 3. what was found comes back to the documents as byte ranges.
 """
 
@@ -78,9 +79,8 @@ def prefix_ranks(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarra
 def has_earlier(text: np.ndarray, places: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """Whether the longest factor at each place that a smaller document has is length bytes or more.
 
-    In suffix order the candidates are the previous and the next suffix of a smaller document. They
-    share length bytes with this one if all suffixes between do, that is if they stand in the same
-    run of equal length-byte prefixes; such a one exists if the run's smallest document is smaller.
+    That is so if the smallest document of the group of equal length-byte prefixes is smaller. How
+    long the factor is beyond that is not computed.
     """
     if not len(places):
         return np.zeros(0, bool)
