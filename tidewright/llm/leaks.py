@@ -136,7 +136,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Re
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["term", "n"])
 
 
-def _passages(place: pa.Array, term: pa.Array, weight: np.ndarray, span: int, limit: int = 30_000) -> Iterator[tuple[np.ndarray, ...]]:
+def _passages(place: pa.Array, term: pa.Array, weight: np.ndarray, span: int, limit: int = 10_000) -> Iterator[tuple[np.ndarray, ...]]:
     """Sparse passages, some at a time: document, window, term, value (unit length), and where each passage starts.
 
     Windows step by half their span, so each place lies in two; only terms with weight count.
