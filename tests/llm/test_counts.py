@@ -33,6 +33,31 @@ def test_no_boundary_at_all_widens_to_the_whole(file):
         assert count_spliced(path, text, 300, 16) == count_tokens(path, [text])[0]
 
 
+SCRIPTS = ["the ", "don't ", "été", ", ", "\n", "  ", "한국어", "क्षि", "「x」", "...", "👍🏽", "12 ", "'s", "e\u0301", "ß)", "日本。", "語、", "ไทย", "\u200d", "«da»", "۱۲۳", "_a_", "x’s"]
+
+
+@pytest.mark.parametrize("file", FILES)
+def test_many_scripts(file):
+    path, rng = P.path(file), random.Random(8)
+    own = ["".join(rng.choices(SCRIPTS, k=rng.randint(50, 900))) for _ in range(60)]
+    for chunk, overlap in ((64, 16), (300, 16)):
+        assert [count_spliced(path, t, chunk, overlap) for t in own] == count_tokens(path, own)
+
+
+def test_long_runs_are_encoded_about_once(monkeypatch):
+    from tidewright.llm import counts
+
+    path, rng, seen = P.path(FILES[0]), random.Random(9), []
+    made = counts._Json.__init__
+    monkeypatch.setattr(counts._Json, "__init__", lambda self, path, text: (seen.append(len(text)), made(self, path, text))[1])
+    ideographs = [chr(0x4E00 + i) for i in range(2000)]
+    for draw in (lambda: rng.choice(ideographs), lambda: rng.choice("abcdefgh0123"), lambda: rng.choice(ideographs) + rng.choice(["", "", "", "。"])):
+        text = "".join(draw() for _ in range(1_000_000))
+        seen.clear()
+        assert count_spliced(path, text) == count_tokens(path, [text])[0]
+        assert sum(seen) < 3 * len(text)
+
+
 def test_rows(spark, sf_dir):
     rows = [(1, None), (None, ""), (2, "Hello <|endoftext|> été"), (2, "Hello <|endoftext|> été"), (3, "word " * 30_000)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, n_tokens int")

@@ -1,9 +1,10 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
-from tidewright.llm.secrets import ALLOWED, CANDIDATE, CLASSES, secret_digests
+from tidewright.llm.secrets import ALLOWED, CANDIDATE, CLASSES, LETTERS, secret_digests
 
 KINDS = {
     "assign": (re.compile(r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 1, 12),
@@ -53,3 +54,10 @@ def test_edge_cases(spark):
     got = [tuple(r)[1:] for r in secret_digests(docs.coalesce(1)).collect()]
     assert got == [brute(t) for _, t, *_ in rows]
     assert secret_digests(docs.limit(0)).collect() == []
+
+
+def test_very_long_candidates(spark):
+    draw = random.Random(4).choices
+    texts = ["x " + "".join(draw(letters, k=n)) for n, letters in ((120_000, LETTERS), (60_000, "0123456789abcdef"), (40_000, "ab1"), (40_000, "a1b2c3d4e5"))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert sorted(tuple(r) for r in secret_digests(docs).collect()) == [(i, *brute(t)) for i, t in enumerate(texts)]

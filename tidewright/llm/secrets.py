@@ -18,6 +18,8 @@ BASE = (
 )
 #: A run of these is a candidate if it has a letter and a digit.
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
+#: All characters of a candidate; where each stands here is its place among the counts.
+LETTERS = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ+/=_-"
 #: Character class, pattern of the whole candidate (first that fits), window, least bits per character.
 CLASSES = (
     ("hex", r"^(?:[0-9a-f]+|[0-9A-F]+)$", 16, 2.95),
@@ -55,34 +57,36 @@ def _bare(spans: Column) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
 
 
-def _count(part: Column, c: Column) -> Column:
-    return F.length(part) - F.length(F.replace(part, c, F.lit("")))
-
-
 def _hot(s: Column, window: int, least: float) -> Column:
     """struct(first, upto): where, from 1, the first window of at least that entropy starts and the last ends.
 
-    The entropy of a window is log2(w) - sum(c log2 c) / w over the counts c of its characters. A
-    step to the right changes the counts of two characters only, both counted in the part that the
-    two windows share, so each step updates the sum and nothing is counted anew.
+    The entropy of a window is log2(w) - sum(c log2 c) / w over the counts c of its characters. The
+    counts of all characters that a candidate can have are carried along: a step to the right takes
+    one character out and one in, and the sum changes by those two counts. Each character costs the
+    same however long the candidate is.
     """
     f = F.array(*[F.lit(c * log2(c) if c else 0.0) for c in range(window + 2)])
     # All windows at least this even; a margin far below the next possible value takes up rounding.
     most = window * (log2(window) - least) + 1e-9
 
-    def step(a: Column, i: Column) -> Column:
-        shared = F.substr(s, F.greatest(i - window + 1, F.lit(1)), F.least(i - 1, F.lit(window - 1)))
-        gone, new = F.substr(s, i - window, F.lit(1)), F.substr(s, i, F.lit(1))
-        left, came = _count(shared, gone), _count(shared, new)
-        out = F.when(i > window, F.get(f, left) - F.get(f, left + 1)).otherwise(0.0)
-        total = a["total"] + out + F.get(f, came + 1) - F.get(f, came)
-        hot = (i >= window) & (total <= most)
-        start = i - window + 1
-        return F.struct(total.alias("total"), F.when(hot, F.coalesce(a["first"], start)).otherwise(a["first"]).alias("first"), F.when(hot, start).otherwise(a["last"]).alias("last"))
-
-    none = F.lit(None).cast("int")
-    begin = F.struct(F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"))
-    return F.when(F.length(s) >= window, F.aggregate(F.sequence(F.lit(1), F.length(s)), begin, step, lambda a: F.struct(a["first"].cast("long").alias("first"), (a["last"] + window - 1).cast("long").alias("upto"))))
+    def over(codes: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            new, gone = F.get(codes, i - 1), F.when(i > window, F.get(codes, i - window - 1)).otherwise(-1)
+            # What leaves goes first, so that a character that leaves and comes back is seen once less in between.
+            left, came = F.get(a["counts"], gone), F.get(a["counts"], new) - (gone == new).cast("int")
+            out = F.when(gone >= 0, F.get(f, left - 1) - F.get(f, left)).otherwise(0.0)
+            total = a["total"] + out + F.get(f, came + 1) - F.get(f, came)
+            counts = F.when(gone == new, a["counts"]).otherwise(F.transform(a["counts"], lambda c, k: c + (k == new).cast("int") - (k == gone).cast("int")))
+            hot = (i >= window) & (total <= most)
+            start = i - window + 1
+            return F.struct(total.alias("total"), F.when(hot, F.coalesce(a["first"], start)).otherwise(a["first"]).alias("first"), F.when(hot, start).otherwise(a["last"]).alias("last"), counts.alias("counts"))
+
+        none = F.lit(None).cast("int")
+        begin = F.struct(F.lit(0.0).alias("total"), none.alias("first"), none.alias("last"), F.array_repeat(F.lit(0), len(LETTERS)).alias("counts"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(codes)), begin, step, lambda a: F.struct(a["first"].cast("long").alias("first"), (a["last"] + window - 1).cast("long").alias("upto")))
+
+    codes = F.transform(F.split(s, ""), lambda c: F.instr(F.lit(LETTERS), c) - 1)
+    return F.when(F.length(s) >= window, let(codes, over))
 
 
 def _entropy(text: Column, rank: int) -> Column:
