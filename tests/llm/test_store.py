@@ -47,12 +47,60 @@ def test_wrong_chunk_is_found(spark, tmp_path):
     packs = spark.read.parquet(f"{store}/packs")
     bad = packs.collect()
     spark.createDataFrame([(r.doc_id, r.n_tokens, r.digest, bytes(r.body[:-1]) + b"\x01" if r.kind == "chunk" else bytes(r.body), r.kind) for r in bad], packs.schema).write.mode("overwrite").partitionBy("kind").parquet(str(tmp_path / "t" / "packs"))
-    for part in ("recipes", "manifest"):
+    for part in ("recipes", "manifest", "head"):
         spark.read.parquet(f"{store}/{part}").write.parquet(str(tmp_path / "t" / part))
     with pytest.raises(Exception, match="does not hold"):
         read_store(spark, str(tmp_path / "t")).collect()
 
 
+@pytest.mark.parametrize("what", ["dropped", "swapped", "repeated", "renumbered", "part", "roots", "head"])
+def test_changed_recipes_and_manifests_are_found(spark, tmp_path, what):
+    docs = spark.createDataFrame([(i, f"text number {i} " * (i % 5)) for i in range(40)], "doc_id long, text string")
+    store, bad = write_store(docs, str(tmp_path / "s"), PATH), str(tmp_path / "t")
+    tables = {t: spark.read.parquet(f"{store}/{t}") for t in ("packs", "recipes", "manifest", "head")}
+    rows = {t: [r.asDict() for r in tables[t].collect()] for t in ("recipes", "manifest", "head")}
+    recipes = sorted(rows["recipes"], key=lambda r: r["doc_id"])
+    if what == "dropped":
+        recipes.pop(17)
+    elif what == "swapped":
+        for key in ("recipe", "root", "n_tokens"):
+            recipes[3][key], recipes[5][key] = recipes[5][key], recipes[3][key]
+    elif what == "repeated":
+        recipes.append(dict(recipes[9]))
+    elif what == "renumbered":
+        recipes[4]["doc_id"] = 400
+    elif what == "part":
+        recipes = [r for r in recipes if r["part"] != recipes[0]["part"]]
+        rows["manifest"] = [r for r in rows["manifest"] if r["part"] != 0]
+    elif what == "roots":
+        for r in rows["manifest"]:
+            r["root"] = b"0" * 16
+    else:
+        rows["head"][0]["tokens"] += 1
+    rows["recipes"] = recipes
+    for name, table in tables.items():
+        out = spark.createDataFrame([tuple(r[c] for c in table.columns) for r in rows[name]], table.schema) if name in rows else table
+        (out.write.partitionBy("kind") if name == "packs" else out.write).parquet(f"{bad}/{name}")
+    assert read_store(spark, store).count() == 40
+    with pytest.raises(ValueError, match="Merkle root|head|start"):
+        read_store(spark, bad)
+
+
+def test_words_of_many_scripts():
+    blocks = [(0x20, 0x7F), (0x80, 0x250), (0x300, 0x370), (0x370, 0x530), (0x530, 0x800), (0x900, 0x1200), (0x1200, 0x2100), (0x2100, 0x3100), (0x3100, 0x5200), (0xA000, 0xAE00), (0xF900, 0x10000), (0x10000, 0x10400), (0x1D400, 0x1D800), (0x1F000, 0x1FB00), (0xE0000, 0xE01F0)]
+    between, whole = [" ", "\n", "'s", "'", "<|startoftext|>", "A.", "é,", "\u0301", "\u200b", "x\u2019", "\u00a0"], Tokenizer.from_file(PATH)
+    for seed in range(25):
+        rng, texts = random.Random(seed), []
+        for _ in range(60):
+            own = [*rng.sample(blocks, rng.randint(1, 4)), (0x61, 0x7B), (0x61, 0x7B), (0x20, 0x40)]
+            texts.append("".join(chr(rng.randrange(*rng.choice(own))) + (rng.choice(between) if rng.random() < 0.15 else "") for _ in range(rng.randint(1, 150))))
+        for lower in (False, True):
+            ids, counts = WordEncoder(PATH, lower, words=300)([t.encode() for t in texts])
+            ends = np.r_[0, np.cumsum(counts)]
+            for k, t in enumerate(texts):
+                assert ids[ends[k] : ends[k + 1]].tolist() == whole.encode(t, add_special_tokens=False).ids, t
+
+
 def test_words_give_the_ids_of_whole_texts():
     rng = random.Random(5)
     parts = ["the", " ", "\n", "don't", "I'LL", "naïve", "Été", "́", "<|endoftext|>", "日本", "😀", " ", "\t", "1234", "!!!", "a.", "b, ", "...", "\x1c", "\x85", "ΣΑΣ", "İ", "ß", "''s"]

@@ -7,7 +7,9 @@ Layout of a store (Parquet, so that any file system Spark reads will do):
                        ascending doc_id (null last) within and over parts; recipe: the digests of
                        the document's chunks, 16 bytes each; root: their Merkle root
     manifest           part, docs, tokens, start, width, root
-                       start: ids of all earlier parts; root: Merkle root of the part's documents
+                       start: ids of all earlier parts; root: Merkle root of the part's documents,
+                       whose leaves are digests of doc_id, n_tokens and recipe root
+    head               parts, docs, tokens, root of the whole store; root: of the parts' roots
 """
 
 from __future__ import annotations
@@ -141,14 +143,48 @@ def _chunker(path: str, lower: bool, end_id: int, wide: bool):
 
 
 def _part_root(table: pa.Table) -> pa.Table:
-    rows = sorted(zip(table["row"].to_pylist(), table["root"].to_pylist(), table["n_tokens"].to_pylist(), strict=True))
-    return pa.table({"part": table["part"][:1], "docs": pa.array([len(rows)], pa.int64()), "tokens": pa.array([sum(r[2] for r in rows)], pa.int64()), "root": pa.array([merkle([r[1] for r in rows])], pa.binary())})
+    rows = sorted(zip(*(table[c].to_pylist() for c in ("row", "root", "n_tokens", "doc_id")), strict=True), key=lambda r: r[:3])
+    leaves = [digest(b"%s:%s:" % (str(d).encode(), str(n).encode()) + (root or b"")) for _, root, n, d in rows]
+    return pa.table({"part": table["part"][:1], "docs": pa.array([len(rows)], pa.int64()), "tokens": pa.array([sum(r[2] or 0 for r in rows)], pa.int64()), "root": pa.array([merkle(leaves)], pa.binary())})
+
+
+def _part_roots(recipes: DataFrame) -> DataFrame:
+    """part, docs, tokens, root of each part; a task holds one part's roots, not its recipes."""
+    return recipes.select("part", "row", "doc_id", "root", "n_tokens").groupBy("part").applyInArrow(_part_root, "part int, docs long, tokens long, root binary")
+
+
+def _head(parts: list) -> tuple[int, int, int, bytes]:
+    return len(parts), sum(r.docs for r in parts), sum(r.tokens for r in parts), merkle([bytes(r.root) for r in parts])
+
+
+def check_manifest(spark: SparkSession, store: str) -> list:
+    """The manifest's rows by part, if recipes, manifest and head agree; raises ValueError otherwise.
+
+    Roots, documents and tokens of each part are worked out anew from its recipes, so a recipe that
+    was lost, exchanged, repeated or renumbered is found, and a lost part by the head. One row for
+    each part reaches the driver: as many as the store was written with shuffle partitions.
+    """
+    said = spark.read.schema("part int, docs long, tokens long, root binary, start long, width int").parquet(f"{store}/manifest").orderBy("part").collect()
+    heads = spark.read.schema("parts int, docs long, tokens long, root binary").parquet(f"{store}/head").collect()
+    if len(heads) != 1 or (heads[0].parts, heads[0].docs, heads[0].tokens, bytes(heads[0].root)) != _head(said):
+        raise ValueError("the manifest's parts are not those of the store's head")
+    at = 0
+    for r in said:
+        if r.start != at:
+            raise ValueError(f"part {r.part} does not start where the one before it ends")
+        at += r.tokens
+    found = {r.part: (r.docs, r.tokens, bytes(r.root)) for r in _part_roots(_recipes(spark, store)).collect()}
+    for part in sorted({r.part for r in said} | found.keys()):
+        if found.get(part) != next(((r.docs, r.tokens, bytes(r.root)) for r in said if r.part == part), None):
+            raise ValueError(f"part {part} of the recipes does not match its Merkle root")
+    return said
 
 
 def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower: bool = False, wide: bool = False, doc_id: str = "doc_id", text: str = "text") -> str:
     """Encodes every text, appends end_id and writes the store; returns its path.
 
-    Null and empty texts are documents of end_id alone. Documents stand in ascending doc_id order,
+    Null and empty texts are documents of end_id alone; columns other than doc_id and text are not
+    read, whatever their names; an empty table gives a store without parts. Documents stand in ascending doc_id order,
     null last; rows with the same doc_id are documents of their own, in the order of their roots.
     wide: ids of 4 bytes, for vocabularies of over 65,536. lower: see WordEncoder. Payloads are
     shuffled once, by digest; a task sends a chunk that it meets again only once, so a chunk that
@@ -165,12 +201,11 @@ def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower:
     ordered = ordered.repartitionByRange(width, "last", "doc_id", "root").sortWithinPartitions("last", "doc_id", "root")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", F.monotonically_increasing_id().alias("row"), "n_tokens", "recipe", "root")
     ordered.write.parquet(f"{store}/recipes")
-    recipes = _recipes(spark, store)
-    roots = recipes.select("part", "row", "root", "n_tokens").groupBy("part").applyInArrow(_part_root, "part int, docs long, tokens long, root binary")
-    # One row for each part.
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    manifest = roots.withColumn("start", F.coalesce(F.sum("tokens").over(before), F.lit(0))).withColumn("width", F.lit(4 if wide else 2))
-    manifest.write.parquet(f"{store}/manifest")
+    parts = sorted(_part_roots(_recipes(spark, store)).collect(), key=lambda r: r.part)  # one row for each part
+    starts = np.cumsum([0, *(r.tokens for r in parts)]).tolist()
+    rows = [(r.part, r.docs, r.tokens, bytes(r.root), at, 4 if wide else 2) for r, at in zip(parts, starts, strict=False)]
+    spark.createDataFrame(rows, "part int, docs long, tokens long, root binary, start long, width int").coalesce(1).write.parquet(f"{store}/manifest")
+    spark.createDataFrame([_head(parts)], "parts int, docs long, tokens long, root binary").coalesce(1).write.parquet(f"{store}/head")
     return store
 
 
@@ -264,11 +299,12 @@ def _join_crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_store(spark: SparkSession, store: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of each document, from the files of the store.
 
-    Each chunk's ids are read, checked against its name and summed; each document's sum comes from
+    The manifest is checked first (see check_manifest). Each chunk's ids are read, checked against its name and summed; each document's sum comes from
     those of its chunks in the order of its recipe, so payloads are not shuffled again. A wrong
     chunk, recipe or count fails the job.
     """
-    wide = spark.read.parquet(f"{store}/manifest").select(F.max("width")).first()[0] == 4
+    said = check_manifest(spark, store)
+    wide = bool(said) and said[0].width == 4
     width = shuffle_width(spark)
     packs = spark.read.schema("digest binary, body binary, kind string").parquet(f"{store}/packs").where("kind = 'chunk'")
     facts = packs.select("digest", "body").mapInArrow(_crc_facts(wide), "digest binary, crc long, n long")
