@@ -58,3 +58,31 @@ def test_whole_copies_when_the_share_is_two(spark):
     assert {r.taken for r in mix_sizes(docs, share=2.0).collect()} == {6}
     assert {r.taken for r in mix_sizes(docs, share=1.0).collect()} == {3}
     assert sum(r.taken for r in mix_sizes(docs, share=0.5).collect()) == 75
+
+
+def test_certain_documents_are_taken_out_before_the_rest_is_scaled(spark):
+    # One document of 3,000 words is worth far more than what its share of the rest leaves; the others share what it leaves.
+    rows = [(0, "w " * 3000, "a")] + [(i, "w " * 3, "a") for i in range(1, 1001)]
+    docs = spark.createDataFrame([(*r, 0, "", 0.0) for r in rows], SCHEMA)
+    for share in (0.6, 0.75, 0.9):
+        got = {r.doc_id: (r.taken, r["size"]) for r in mix_sizes(docs, share=share).collect()}
+        assert got[0][0] == 3000
+        assert abs(sum(t for t, _ in got.values()) - share * 6000) <= 3
+
+
+def test_one_source_with_rows_at_one_place(spark):
+    rows = [(None, "same text of six words here", "a")] * 400 + [(i, "w " * (i % 40 + 1), "a") for i in range(300)] + [(7, "again", None)] * 9
+    docs = spark.createDataFrame([(*r, 0, "", 0.0) for r in rows], SCHEMA)
+    got = mix_sizes(docs.repartition(5), share=1.0).collect()
+    assert len(got) == len(rows) and len({r.taken for r in got if r.doc_id is None}) == 1
+    taken = sum(r.taken for r in got if r["source_size"] > 100)
+    target = next(r.target for r in got if r["source_size"] > 100)
+    assert taken <= target + 1e-6 and target - taken <= 2400  # equal rows go together
+
+
+def test_larger_documents_are_taken_more_often(spark):
+    rows = [(i, "w " * (5 if i % 2 else 80), "a", 0, "", 0.0) for i in range(4000)]
+    got = mix_sizes(spark.createDataFrame(rows, SCHEMA), share=0.5).collect()
+    odds = [sum(r.taken > 0 for r in got if r["size"] == n) / 2000 for n in (5, 80)]
+    # worth 47 and 444: in proportion, and half of all words in all
+    assert odds[1] / odds[0] == pytest.approx(444 / 47, rel=0.2) and sum(r.taken for r in got) == pytest.approx(85_000, abs=80)
