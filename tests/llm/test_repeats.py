@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from tidewright.llm.anchors import all_anchors
-from tidewright.llm.repeats import LENGTH, has_earlier, repeat_digests, without_repeats
+from tidewright.llm.repeats import LENGTH, longest_previous_factors, repeat_digests, suffix_order, without_repeats
 
 
 def brute(rows, length=LENGTH):
@@ -88,11 +88,46 @@ def test_long_documents_are_taken_in_pieces():
     assert whole == windows(256) == windows(100) and len(whole) == sum(max(0, n - 49) for n in lens)
 
 
+def strings(seed, letters, n, most):
+    """Strings of few letters, an end behind each: text, places, bytes left at each."""
+    rng = random.Random(seed)
+    own = [bytes(rng.choice(letters) for _ in range(rng.randint(1, most))) for _ in range(n)]
+    text = np.frombuffer(b"".join(x + b"\xff" for x in own), np.uint8)
+    places = np.flatnonzero(text != 255)
+    ends = np.flatnonzero(text == 255)
+    return text, places, ends[np.searchsorted(ends, places)] - places, np.searchsorted(ends, places)
+
+
+def common(a, b):
+    return next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
 def test_suffix_order():
-    text = np.frombuffer(b"abcabcabcabxabcabc" * 8, np.uint8)
-    places = np.arange(len(text) - 12)
-    doc = places // 30
-    got = has_earlier(text, places, doc, 12)
-    raw = text.tobytes()
-    want = [any(raw[j : j + 12] == raw[i : i + 12] and doc[j] < doc[i] for j in places) for i in places]
-    assert got.tolist() == want
+    for seed in range(40):
+        text, places, left, _ = strings(seed, b"ab" if seed % 2 else b"abcdef", 6, 90)
+        order, same = suffix_order(text, places, left)
+        raw = [text[p : p + n].tobytes() for p, n in zip(places[order].tolist(), left[order].tolist(), strict=True)]
+        assert [x + b"\xff" for x in raw] == sorted(x + b"\xff" for x in raw)
+        assert same.tolist() == [0, *(common(a, b) for a, b in zip(raw, raw[1:], strict=False))]
+
+
+def test_longest_previous_factors():
+    rng = np.random.default_rng(3)
+    for seed in range(40):
+        text, places, left, of = strings(seed, b"ab" if seed % 2 else b"abc", 8, 60)
+        doc = rng.permutation(8)[of] if seed % 3 else rng.integers(0, 3, 8)[of]
+        raw = [text[p : p + n].tobytes() for p, n in zip(places.tolist(), left.tolist(), strict=True)]
+        want = [max((common(raw[i], raw[j]) for j in np.flatnonzero(doc < doc[i])), default=0) for i in range(len(places))]
+        for length in (1, 5, 12):
+            got = longest_previous_factors(text, places, left, doc, length)
+            assert got.tolist() == [w if w >= length else 0 for w in want]
+    assert len(longest_previous_factors(text, places[:0], left[:0], places[:0], 5)) == 0
+
+
+def test_factors_of_steps():
+    # Documents that rise, and then fall below all of them: what points on one by one must end too.
+    text = np.frombuffer(b"abcdefghij\xff" * 3000, np.uint8)
+    places = np.arange(3000) * 11
+    doc = np.r_[np.arange(1, 2001), np.zeros(1000, int)]
+    got = longest_previous_factors(text, places, np.full(3000, 10), doc, 5)
+    assert got.tolist() == [10 if d else 0 for d in doc.tolist()]

@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -15,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
+_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
@@ -38,10 +39,17 @@ def _local_base() -> str:
 
 
 def settle(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
+    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage.
+
+    The shuffle files of the job are dropped when it ends: nothing reads them again.
+    """
     spark = df.sparkSession
-    path = path or work_dir(spark)
-    df.write.parquet(path)
+    path, before = path or work_dir(spark), spark.conf.get(_DROP)
+    spark.conf.set(_DROP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_DROP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tw_path = path
     return out
@@ -54,14 +62,6 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of jobs that nothing refers to any more."""
-    for _ in range(2):  # plans first, then what only they referred to; the cleaner works behind
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,13 +1,13 @@
-"""Repeated strings across documents, removed from all but the first, by groups of equal prefixes.
+"""Repeated strings across documents, removed from all but the first, by longest previous factors.
 
 All suffixes of a large corpus cannot be sorted in one place. Every string of LENGTH bytes has one
 anchor, a short gram that its content alone picks, so equal strings have equal anchors:
 
 1. anchors that only one document has are left out, by their hashes alone;
-2. the bytes around the others go to the task of their anchor, which ranks the LENGTH bytes from
-   each place there and looks for the least document of each rank; suffixes are not ordered beyond
-   LENGTH bytes, and no longest previous factors are made;
-3. what was found comes back to the documents as byte ranges.
+2. the bytes around the others go to the task of their anchor, which sorts the suffixes there and
+   finds, for each, the nearest ones before and behind it in that order that have a smaller
+   document; the longer common prefix with either is the longest previous factor;
+3. factors of LENGTH bytes or more come back to the documents as byte ranges.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, all_anchors
-from .common import each_text, flat, release, settle, shuffle_width
+from .common import each_text, flat, settle, shuffle_width
 
 LENGTH = 50
 #: Documents without an id come after all others.
@@ -60,34 +60,87 @@ def _ranks(key: np.ndarray) -> np.ndarray:
     return out
 
 
-def prefix_ranks(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """Rank of the length bytes from each place among all places, by doubling from 8 bytes on.
+#: Bytes by which suffixes are ordered at a time, and a byte that no text has.
+_SPAN, _END = 32, 255
 
-    Equal ranks: equal strings. Each place has length bytes; the text is padded beyond its end.
+
+def suffix_order(text: np.ndarray, places: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of their suffixes, and the common prefix of each with the one before it.
+
+    left: bytes from each place to the end of its string, behind which text has an _END. Ranks of
+    all _SPAN bytes come from doubling; suffixes are ordered by as many of them as the longest has.
     """
-    text = np.r_[text, np.zeros(2 * length, np.uint8)]
+    most = int(left.max())
+    text = np.r_[text, np.full(most + 2 * _SPAN, _END, np.uint8)]
     key = text.astype(np.uint64)
     for span in (1, 2, 4):
         key = (key[:-span] << np.uint64(8 * span)) | key[span:]
-    span, rank = 8, _ranks(key)
-    while 2 * span < length:
-        rank = _ranks((rank[:-span].astype(np.uint64) << np.uint64(32)) | rank[span:])
+    span, ranks = 8, [_ranks(key)]
+    del key
+    while span < _SPAN:
+        rank = ranks[-1]
+        ranks.append(_ranks((rank[:-span].astype(np.uint64) << np.uint64(32)) | rank[span:]))
         span *= 2
-    return _ranks((rank[places].astype(np.uint64) << np.uint64(32)) | rank[places + length - span])
-
-
-def has_earlier(text: np.ndarray, places: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
-    """Whether the longest factor at each place that a smaller document has is length bytes or more.
-
-    That is so if the smallest document of the group of equal length-byte prefixes is smaller. How
-    long the factor is beyond that is not computed.
+    own, upto = ranks[-1][places], _SPAN
+    while upto < most:
+        own = _ranks((own.astype(np.uint64) << np.uint64(32)) | ranks[-1][places + upto])
+        upto += _SPAN
+    order = np.argsort(own, kind="stable")
+    a, b = places[order[:-1]], places[order[1:]]
+    same, at = np.zeros(len(a), np.int64), np.arange(len(a))  # at: equal so far
+    for _ in range(upto // _SPAN):
+        at = at[ranks[-1][a[at] + same[at]] == ranks[-1][b[at] + same[at]]]
+        same[at] += _SPAN
+    at = np.flatnonzero(same < upto)
+    for rank, span in zip(ranks[-2::-1], (16, 8), strict=True):
+        some = at[rank[a[at] + same[at]] == rank[b[at] + same[at]]]
+        same[some] += span
+    for _ in range(7):
+        at = at[text[a[at] + same[at]] == text[b[at] + same[at]]]
+        same[at] += 1
+    return order, np.r_[0, np.minimum(same, left[order[1:]])]
+
+
+def _smaller_before(doc: np.ndarray, common: np.ndarray, length: int) -> np.ndarray:
+    """Common prefix of each suffix with the nearest one before it that has a smaller document; 0: less than length.
+
+    Every suffix points at one before it such that all between have no smaller document; where that
+    one has none either, it points on to where that one points, all at once.
+    """
+    to, held = np.arange(-1, len(doc) - 1), common.copy()
+    to[common < length] = -1
+    at = np.flatnonzero(to >= 0)
+    at = at[doc[to[at]] >= doc[at]]
+    while len(at):
+        via = to[at]
+        further, low = to[via], np.minimum(held[at], held[via])
+        low[further < 0] = 0
+        to[at], held[at] = further, low
+        at = at[further >= 0]
+        at = at[doc[to[at]] >= doc[at]]
+    held[to < 0] = 0
+    return held
+
+
+def longest_previous_factors(text: np.ndarray, places: np.ndarray, left: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each place the length of the longest string from it that also starts at a place with a smaller document.
+
+    Strings shorter than length count as none. Of all suffixes with a smaller document the nearest
+    before and the nearest behind in suffix order have the longest common prefixes.
     """
+    out = np.zeros(len(places), np.int64)
     if not len(places):
-        return np.zeros(0, bool)
-    rank = prefix_ranks(text, places, length)
-    least = np.full(int(rank.max()) + 1, LAST, np.int64)
-    np.minimum.at(least, rank, doc)
-    return doc > least[rank]
+        return out
+    order, common = suffix_order(text, places, left)
+    # Only suffixes that share length bytes with a neighbour can have a factor.
+    near = common >= length
+    near[:-1] |= common[1:] >= length
+    order, common = order[near], common[near]
+    own = doc[order]
+    before = _smaller_before(own, common, length)
+    behind = _smaller_before(own[::-1], np.r_[0, common[:0:-1]], length)[::-1] if len(own) else before
+    out[order] = np.maximum(before, behind)
+    return out
 
 
 # --- step 1: anchors of more than one document ------------------------------------------------
@@ -171,7 +224,7 @@ def _by_document(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(doc_id[of[new]].astype(np.int64)), pa.array(th[of[new]]), pa.array(own_blobs, pa.binary())], ["d", "t", "windows"])
 
 
-# --- step 2: suffix order around shared anchors -----------------------------------------------
+# --- step 2: suffixes around shared anchors ---------------------------------------------------
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], width: int, length: int) -> Iterator[pa.RecordBatch]:
@@ -269,11 +322,14 @@ def _earlier(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.Reco
     for part in _whole_anchors(rest, alike, count[one] + length - 1):
         size = count[one[part]] + length - 1
         upto = np.r_[0, np.cumsum(size)]
-        sub = text[np.repeat(ends[:-1][one[part]] - upto[:-1], size) + np.arange(upto[-1])]
+        # A byte that no text has ends each context.
+        sub, begin = np.full(upto[-1] + len(part), _END, np.uint8), upto[:-1] + np.arange(len(part))
+        each = np.arange(upto[-1]) - np.repeat(upto[:-1], size)
+        sub[np.repeat(begin, size) + each] = text[np.repeat(ends[:-1][one[part]], size) + each]
         n = count[one[part]]
         inner = np.arange(n.sum()) - np.repeat(np.r_[0, np.cumsum(n)[:-1]], n)
-        found = has_earlier(sub, np.repeat(upto[:-1], n) + inner, np.repeat(least[part], n), length)
-        hit[np.repeat(hit_at[part], n) + inner] = found
+        factors = longest_previous_factors(sub, np.repeat(begin, n) + inner, np.repeat(size, n) - inner, np.repeat(least[part], n), length)
+        hit[np.repeat(hit_at[part], n) + inner] = factors >= length
     # Later documents of a class have all its windows earlier, the first one those found above.
     later = doc > least[cls]
     start, size = [first[later]], [count[later]]
@@ -357,21 +413,17 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     if not GRAM <= length:
         raise ValueError(f"length must be {GRAM} or more")
-    spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
+    width = shuffle_width(docs.sparkSession)
     rows = _keyed(docs, doc_id, text).where(F.length("text") >= length)
     kinds = "key long, grp long, blob binary"
     asked = rows.select("d", "t", "text").mapInArrow(lambda b: _ask(b, width, length), kinds)
     answered = asked.repartition(width, "key").mapInArrow(_answer, kinds)
     shared = settle(answered.repartition(width, "grp").mapInArrow(_by_document, "d long, t long, windows binary").groupBy("d", "t").agg(F.first("windows").alias("windows")))
-    del asked, answered
-    release(spark)
     both = rows.select("d", "t", "text").join(shared, ["d", "t"])
     around = both.select("d", "t", "text", "windows").mapInArrow(lambda b: _contexts(b, width, length), kinds)
     found = around.repartition(width, "key").mapInArrow(lambda b: _earlier(b, length), kinds)
     # Repeated rows of a document have the same ranges.
     out = settle(found.repartition(width, "grp").mapInArrow(lambda b: _ranges(b, length), "d long, t long, ranges binary").groupBy("d", "t").agg(F.first("ranges").alias("ranges")))
-    del both, around, found
-    release(spark)
     return out
 
 
