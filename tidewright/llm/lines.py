@@ -1,21 +1,14 @@
-"""Line dedup by winnowing over line hashes, DataFrame functions only; by length of text besides."""
+"""Line dedup by winnowing over line hashes, DataFrame functions only."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, settle
-from .native import let
+from .common import settle
+from .native import let, running_sums
 
-#: Lines in a gram, and grams in a winnowing window: runs of GRAM + WINDOW - 1 lines always share a fingerprint.
-GRAM, WINDOW = 2, 2
-#: Least bytes, line ends included, of a repeated run that is judged by its length.
+#: Least bytes, line ends included, of a repeated run of lines that is removed; also what a winnowing window spans.
 LENGTH = 40
 #: Documents without an id come after all others.
 LAST = (1 << 63) - 1
@@ -30,57 +23,105 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("t"), own.alias("text"))
 
 
-def repeated_runs(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """d, t, starts: where, from 0, runs of gram + window - 1 lines begin that occur earlier.
+def _measured(rows: DataFrame) -> DataFrame:
+    """d, t, text -> d, t, lines, begin, end: where, in bytes, each line begins and ends."""
+    out = rows.where("text is not null").select("d", "t", _lines(F.col("text")).alias("lines"))
+    out = out.withColumn("begin", running_sums(F.transform("lines", lambda x: (F.octet_length(x) + 1).cast("long"))))
+    return out.withColumn("end", F.zip_with("begin", "lines", lambda a, x: a + F.octet_length(x) + 1))
+
+
+def _last(i: Column, length: int) -> Column:
+    """The line in which the first length bytes from line i on end; beyond all lines if there are fewer. No line is shorter than a byte."""
+    return i + F.size(F.filter(F.slice("end", i + 1, F.lit(length)), lambda e: e - F.get("begin", i) < length))
+
 
-    Each window of grams is known by its least hash, which equal runs share, so a run whose
-    fingerprint occurs once has no copy and goes no further. The positions of the other
-    fingerprints are joined; there the match reaches over the run's lines on both sides, whose
-    hashes (two of 64 bits) must agree, and the first by doc_id and line stays. Nothing is paired
-    with anything but the first of its kind, so a run that a third of all documents share costs a
-    row for each.
+def _first(j: Column, length: int) -> Column:
+    """The line in which the last length bytes up to line j begin."""
+    at = F.greatest(j - length + 2, F.lit(1))
+    return j - F.size(F.filter(F.slice("begin", at, j - at + 2), lambda b: F.get("end", j) - b < length))
+
+
+def fingerprints(rows: DataFrame, length: int = LENGTH) -> DataFrame:
+    """d, t, print, at, low, high: the winnowed lines of each document.
+
+    A window is the shortest run of lines from some line on that has length bytes; of each window
+    the line with the least hash is selected, the first of equals. at: a selected line, print: its
+    hash; low, high: the first and last line from which windows begin that selected it. Every run
+    of length bytes holds a window, so equal runs share a selected line at the same place in them.
     """
-    run = gram + window - 1
-    rows = _keyed(docs, doc_id, text)
-    hashes = rows.select("d", "t", F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= run)
-    grams = F.transform(F.sequence(F.lit(1), F.size("h") - gram + 1), lambda i: F.xxhash64(F.slice("h", i, F.lit(gram))))
-    hashes = hashes.select("d", "t", "h", grams.alias("g"))
+    out = _measured(rows).withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
+
+    def least(i: Column) -> Column:
+        return let(_last(i, length), lambda j: F.when(j < F.size("lines"), let(F.slice("h", i + 1, j - i + 1), lambda w: (i + F.array_position(w, F.array_min(w)) - 1).cast("int"))))
+
+    out = out.withColumn("own", F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), least), lambda p: p.isNotNull()))
+    # Windows that select the same line follow one another.
+    turns = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1)))
+    out = out.where(F.size("own") > 0).withColumn("turns", turns)
+    rows = F.transform("turns", lambda i, k: F.struct(F.get("h", F.get("own", i)).alias("print"), F.get("own", i).alias("at"), i.alias("low"), (F.coalesce(F.get("turns", k + 1), F.size("own")) - 1).alias("high")))
+    return out.select("d", "t", F.inline(rows))
+
+
+def _grown(rows: DataFrame, spots: DataFrame, length: int) -> DataFrame:
+    """d, t, at, last, run: from each spot the runs of lines around it, grown line by line to length bytes, and a hash of their text.
+
+    Matches grow to the right from each line whose window selected the spot, and to the left from
+    each line where such a run can end; longer matches are unions of these.
+    """
+    both = _measured(rows).join(spots, ["d", "t"])
+
+    def around(s: Column) -> Column:
+        rightwards = F.transform(F.sequence(s["low"], s["high"]), lambda i: F.struct(i.alias("at"), _last(i, length).alias("last")))
+        beyond = F.least(_last(s["high"] + 1, length), F.size("lines")) - 1  # where runs from the next spot's first line on can end
+        stop = F.when(s["high"] + 1 < F.size("lines"), beyond).otherwise(F.size("lines") - 1)
+        leftwards = let(_last(s["low"], length), lambda j: F.when(j <= stop, F.transform(F.sequence(j, stop), lambda k: F.struct(_first(k, length).alias("at"), k.alias("last")))).otherwise(F.array().cast("array<struct<at:int,last:int>>")))
+        return F.array_union(rightwards, leftwards)
+
+    grown = both.select("d", "t", "lines", F.explode(F.flatten(F.transform("spots", around))).alias("r"))
+    return grown.select("d", "t", "r.at", "r.last", F.unhex(F.sha2(F.array_join(F.slice("lines", F.col("r.at") + 1, F.col("r.last") - F.col("r.at") + 1), "\n"), 256)).alias("run"))
 
-    def one(i: Column) -> Column:
-        lines = F.slice("h", i, F.lit(run))
-        return F.struct((i - 1).alias("at"), F.array_min(F.slice("g", i, F.lit(window))).alias("print"), F.xxhash64(lines).alias("k1"), F.xxhash64(F.lit(1), F.reverse(lines)).alias("k2"))
 
-    runs = hashes.select("d", "t", F.explode(F.transform(F.sequence(F.lit(1), F.size("h") - run + 1), one)).alias("r")).select("d", "t", "r.*")
-    runs = settle(runs.dropDuplicates(["d", "t", "at"]))
+def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
+    """d, t, runs: the lines of each document that lie in a run of length bytes or more that occurs earlier.
+
+    Selected fingerprints are joined by their hash, and one that occurs once goes no further. From
+    the others matches are extended both ways, compared by 256 bits of their text, and of equal ones
+    the first by doc_id and line stays. Nothing is paired with anything but the first of its kind,
+    so a line that a third of all documents share costs a row for each.
+    """
+    rows = _keyed(docs, doc_id, text)
+    prints = settle(fingerprints(rows.select("d", "t", "text"), length))
     place = F.struct("d", "t", "at")
-    shared = runs.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print")
-    kept = runs.join(shared, "print", "left_semi")
-    first = kept.groupBy("print", "k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
-    later = kept.join(first, ["print", "k1", "k2"]).where(place > F.col("first"))
-    return later.groupBy("d", "t").agg(F.array_sort(F.collect_list("at")).alias("starts"))
+    shared = prints.groupBy("print").agg(F.min(place).alias("a"), F.max(place).alias("b")).where("a <> b").select("print")
+    spots = prints.join(shared, "print", "left_semi").groupBy("d", "t").agg(F.collect_set(F.struct("low", "high")).alias("spots"))
+    grown = settle(_grown(rows, spots, length))
+    first = grown.groupBy("run").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").drop("end")
+    later = grown.join(first, "run").where(place > F.col("first"))
+    lines = later.select("d", "t", F.explode(F.sequence("at", "last")).alias("line"))
+    gone = lines.groupBy("d", "t").agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    return gone.select("d", "t", _joined(F.col("lines")).alias("runs"))
 
 
-def _joined(starts: Column, run: int) -> Column:
-    """Runs that touch or overlap as one: struct(start, stop) of each, by start."""
-    firsts = let(starts, lambda s: F.filter(s, lambda x, i: (i == 0) | (x - F.get(s, i - 1) > run)))
-    lasts = let(starts, lambda s: F.filter(s, lambda x, i: (i == F.size(s) - 1) | (F.get(s, i + 1) - x > run)))
-    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("start"), (b + run).alias("stop")))
+def _joined(lines: Column) -> Column:
+    """Neighbouring lines as runs: struct(start, stop) of each, by start."""
+    firsts = F.filter(lines, lambda x, i: (i == 0) | (x - F.get(lines, i - 1) > 1))
+    lasts = F.filter(lines, lambda x, i: (i == F.size(lines) - 1) | (F.get(lines, i + 1) - x > 1))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("stop")))
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs, kept of every row of docs.
 
-    Lines are parted by \\n. A line is removed if it lies in a run of gram + window - 1 or more
-    lines that occurs, line by line, at an earlier place, earlier meaning a smaller doc_id or the
+    Lines are parted by \\n and as long as their UTF-8 with the line end, which the last one has
+    too. A line is removed if it lies in a run of one or more whole lines, of length bytes or more
+    in all, that occurs, line by line, at an earlier place, earlier meaning a smaller doc_id or the
     same document further up. n_runs counts maximal removed runs; kept is the text of the other
     lines. A null text has no lines and stays null, an empty one has one empty line. Rows with the
     same doc_id and text are one document and share its result; with other texts they are ordered
     by a hash of it. A null doc_id is later than any other. Other columns are not read; an empty
     table gives an empty result.
     """
-    run = gram + window - 1
-    starts = repeated_runs(docs, doc_id, text, gram, window).withColumn("runs", _joined(F.col("starts"), run)).select("d", "t", "runs")
-    return _without(_keyed(docs, doc_id, text), starts)
+    return _without(_keyed(docs, doc_id, text), repeated_lines(docs, doc_id, text, length))
 
 
 def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
@@ -99,63 +140,30 @@ def _without(keyed: DataFrame, gone: DataFrame) -> DataFrame:
     return out.select("doc_id", F.size("lines").cast("long").alias("n_lines"), removed.alias("n_removed"), F.size("runs").cast("long").alias("n_runs"), F.when(~F.col("none"), F.array_join(kept, "\n")).alias("kept"))
 
 
-def _stretches(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """d, t, text -> where the shortest runs of length bytes or more begin, their lines and two hashes; from each line on and up to each line."""
-    for batch in batches:
-        for x, text in enumerate(each_text(batch.column(2))):
-            stops = np.append(np.flatnonzero(np.frombuffer(text, np.uint8) == 10) + 1, len(text) + 1)
-            starts = np.r_[0, stops[:-1]]
-            last = np.searchsorted(stops, starts + length)
-            first = np.searchsorted(starts, stops - length, "right") - 1
-            at = np.arange(len(stops))
-            pairs = np.unique(np.r_[np.c_[at, last][last < len(stops)], np.c_[first, at][first >= 0]], axis=0)
-            if not len(pairs):
-                continue
-            cut = [text[a:b] for a, b in zip(starts[pairs[:, 0]].tolist(), (stops[pairs[:, 1]] - 1).tolist(), strict=True)]
-            keys = np.array([(xxhash.xxh3_64_intdigest(c), xxhash.xxh64_intdigest(c)) for c in cut], np.uint64).view(np.int64)
-            d, t = (pa.array([batch.column(k)[x].as_py()] * len(cut), pa.int64()) for k in (0, 1))
-            yield pa.RecordBatch.from_arrays([d, t, pa.array(pairs[:, 0], pa.int32()), pa.array(pairs[:, 1], pa.int32()), pa.array(keys[:, 0]), pa.array(keys[:, 1])], ["d", "t", "at", "last", "k1", "k2"])
-
-
-def dedup_long_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """The columns of dedup_lines, where runs are judged by their text: one long line is enough.
-
-    A line is removed if it lies in a run of lines, of length bytes or more with their line ends,
-    that occurs, line by line, at an earlier place. Such a run is the union of the shortest ones
-    that begin at each of its lines, as long as they end in it, and of those that end at each; equal
-    runs are parted equally, so the shortest ones need only be grouped by their text. A line is in
-    as many rows as it has ends. Ids, nulls and order are those of dedup_lines.
-    """
-    rows = _keyed(docs, doc_id, text)
-    runs = rows.where("text is not null").select("d", "t", "text").mapInArrow(lambda b: _stretches(b, length), "d long, t long, at int, last int, k1 long, k2 long")
-    runs = settle(runs.dropDuplicates(["d", "t", "at", "last"]))
-    place = F.struct("d", "t", "at")
-    first = runs.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.max(place).alias("end")).where("first <> end").drop("end")
-    later = runs.join(first, ["k1", "k2"]).where(place > F.col("first"))
-    lines = later.select("d", "t", F.explode(F.sequence("at", "last")).alias("line"))
-    gone = lines.groupBy("d", "t").agg(F.array_sort(F.collect_set("line")).alias("lines"))
-    return _without(rows, gone.select("d", "t", _joined(F.col("lines"), 1).alias("runs")))
-
-
 def line_digests(docs: DataFrame, **how) -> DataFrame:
     """dedup_lines with the MD5 of the kept text (null: of nothing) in place of it."""
     return dedup_lines(docs, **how).withColumn("kept_md5", F.md5(F.coalesce("kept", F.lit("")))).drop("kept")
 
 
-SQL = """
+SQL = f"""
 WITH d AS (
   SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(text, chr(10)) END AS lines FROM documents
+), n AS (
+  SELECT doc_id, unnest(lines) AS text, unnest(range(len(lines))) AS line FROM d
+), l AS (
+  SELECT *, sum(strlen(text) + 1) OVER (PARTITION BY doc_id ORDER BY line) AS stop FROM n
 ), r AS (
-  SELECT doc_id, pos, lines[pos + 1] || chr(10) || lines[pos + 2] || chr(10) || lines[pos + 3] AS run
-  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS pos FROM d WHERE len(lines) >= 3)
+  SELECT a.doc_id, a.line AS pos, min(b.line) AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.line BETWEEN a.line AND a.line + {LENGTH}
+  WHERE b.stop - a.stop + strlen(a.text) + 1 >= {LENGTH} GROUP BY 1, 2
+  UNION
+  SELECT b.doc_id, max(a.line) AS pos, b.line AS last FROM l a JOIN l b ON a.doc_id = b.doc_id AND a.line BETWEEN b.line - {LENGTH} AND b.line
+  WHERE b.stop - a.stop + strlen(a.text) + 1 >= {LENGTH} GROUP BY 1, 3
 ), m AS (
-  SELECT doc_id, pos, row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS later FROM r
+  SELECT doc_id, pos, last, row_number() OVER (PARTITION BY array_to_string(lines[pos + 1 : last + 1], chr(10)) ORDER BY doc_id, pos) > 1 AS later FROM r JOIN d USING (doc_id)
 ), x AS (
-  SELECT DISTINCT doc_id, unnest([pos, pos + 1, pos + 2]) AS line FROM m WHERE later
-), l AS (
-  SELECT doc_id, unnest(lines) AS text, unnest(range(len(lines))) AS line FROM d
+  SELECT DISTINCT doc_id, unnest(range(pos, last + 1)) AS line FROM m WHERE later
 ), j AS (
-  SELECT l.doc_id, l.line, l.text, x.line IS NOT NULL AS gone FROM l LEFT JOIN x ON l.doc_id = x.doc_id AND l.line = x.line
+  SELECT n.doc_id, n.line, n.text, x.line IS NOT NULL AS gone FROM n LEFT JOIN x ON n.doc_id = x.doc_id AND n.line = x.line
 ), k AS (
   SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY line), false) AS opens FROM j
 ), g AS (
