@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,22 +25,28 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("t"), own.alias("text"))
 
 
-def _measured(rows: DataFrame) -> DataFrame:
-    """d, t, text -> d, t, lines, begin, end: where, in bytes, each line begins and ends."""
-    out = rows.where("text is not null").select("d", "t", _lines(F.col("text")).alias("lines"))
-    out = out.withColumn("begin", running_sums(F.transform("lines", lambda x: (F.octet_length(x) + 1).cast("long"))))
-    return out.withColumn("end", F.zip_with("begin", "lines", lambda a, x: a + F.octet_length(x) + 1))
+def _measured(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """body(lines, begin, end) with where, in bytes, each line begins and ends; each worked out once."""
+
+    def ends(lines: Column, begin: Column) -> Column:
+        return F.zip_with(begin, lines, lambda a, x: a + F.octet_length(x) + 1)
+
+    def measured(lines: Column) -> Column:
+        begins = running_sums(F.transform(lines, lambda x: (F.octet_length(x) + 1).cast("long")))
+        return let(begins, lambda begin: let(ends(lines, begin), lambda end: body(lines, begin, end)))
 
+    return let(_lines(text), measured)
 
-def _last(i: Column, length: int) -> Column:
+
+def _last(begin: Column, end: Column, i: Column, length: int) -> Column:
     """The line in which the first length bytes from line i on end; beyond all lines if there are fewer. No line is shorter than a byte."""
-    return i + F.size(F.filter(F.slice("end", i + 1, F.lit(length)), lambda e: e - F.get("begin", i) < length))
+    return i + F.size(F.filter(F.slice(end, i + 1, F.lit(length)), lambda e: e - F.get(begin, i) < length))
 
 
-def _first(j: Column, length: int) -> Column:
+def _first(begin: Column, end: Column, j: Column, length: int) -> Column:
     """The line in which the last length bytes up to line j begin."""
     at = F.greatest(j - length + 2, F.lit(1))
-    return j - F.size(F.filter(F.slice("begin", at, j - at + 2), lambda b: F.get("end", j) - b < length))
+    return j - F.size(F.filter(F.slice(begin, at, j - at + 2), lambda b: F.get(end, j) - b < length))
 
 
 def fingerprints(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -49,17 +57,25 @@ def fingerprints(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     hash; low, high: the first and last line from which windows begin that selected it. Every run
     of length bytes holds a window, so equal runs share a selected line at the same place in them.
     """
-    out = _measured(rows).withColumn("h", F.transform("lines", lambda x: F.xxhash64(x)))
 
-    def least(i: Column) -> Column:
-        return let(_last(i, length), lambda j: F.when(j < F.size("lines"), let(F.slice("h", i + 1, j - i + 1), lambda w: (i + F.array_position(w, F.array_min(w)) - 1).cast("int"))))
+    def selected(lines: Column, begin: Column, end: Column) -> Column:
+        def least(h: Column, i: Column) -> Column:
+            own = lambda j: F.when(j < F.size(h), let(F.slice(h, i + 1, j - i + 1), lambda w: (i + F.array_position(w, F.array_min(w)) - 1).cast("int")))
+            return let(_last(begin, end, i, length), own)
+
+        def turns(h: Column, own: Column) -> Column:
+            # Windows that select the same line follow one another.
+            firsts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), lambda i: (i == 0) | (F.get(own, i) != F.get(own, i - 1)))
+            said = lambda k, i, f: F.struct(F.get(h, F.get(own, i)).alias("print"), F.get(own, i).alias("at"), i.alias("low"), (F.coalesce(F.get(f, k + 1), F.size(own)) - 1).alias("high"))
+            return F.when(F.size(own) > 0, let(firsts, lambda f: F.transform(f, lambda i, k: said(k, i, f))))
+
+        def windows(h: Column) -> Column:
+            picked = F.filter(F.transform(F.sequence(F.lit(0), F.size(h) - 1), lambda i: least(h, i)), lambda p: p.isNotNull())
+            return let(picked, lambda own: turns(h, own))
 
-    out = out.withColumn("own", F.filter(F.transform(F.sequence(F.lit(0), F.size("lines") - 1), least), lambda p: p.isNotNull()))
-    # Windows that select the same line follow one another.
-    turns = F.filter(F.sequence(F.lit(0), F.size("own") - 1), lambda i: (i == 0) | (F.get("own", i) != F.get("own", i - 1)))
-    out = out.where(F.size("own") > 0).withColumn("turns", turns)
-    rows = F.transform("turns", lambda i, k: F.struct(F.get("h", F.get("own", i)).alias("print"), F.get("own", i).alias("at"), i.alias("low"), (F.coalesce(F.get("turns", k + 1), F.size("own")) - 1).alias("high")))
-    return out.select("d", "t", F.inline(rows))
+        return let(F.transform(lines, lambda x: F.xxhash64(x)), windows)
+
+    return rows.where("text is not null").select("d", "t", F.inline(_measured(F.col("text"), selected)))
 
 
 def _grown(rows: DataFrame, spots: DataFrame, length: int) -> DataFrame:
@@ -68,17 +84,28 @@ def _grown(rows: DataFrame, spots: DataFrame, length: int) -> DataFrame:
     Matches grow to the right from each line whose window selected the spot, and to the left from
     each line where such a run can end; longer matches are unions of these.
     """
-    both = _measured(rows).join(spots, ["d", "t"])
 
-    def around(s: Column) -> Column:
-        rightwards = F.transform(F.sequence(s["low"], s["high"]), lambda i: F.struct(i.alias("at"), _last(i, length).alias("last")))
-        beyond = F.least(_last(s["high"] + 1, length), F.size("lines")) - 1  # where runs from the next spot's first line on can end
-        stop = F.when(s["high"] + 1 < F.size("lines"), beyond).otherwise(F.size("lines") - 1)
-        leftwards = let(_last(s["low"], length), lambda j: F.when(j <= stop, F.transform(F.sequence(j, stop), lambda k: F.struct(_first(k, length).alias("at"), k.alias("last")))).otherwise(F.array().cast("array<struct<at:int,last:int>>")))
-        return F.array_union(rightwards, leftwards)
+    def grown(lines: Column, begin: Column, end: Column) -> Column:
+        n = F.size(lines)
+
+        def run(i: Column, j: Column) -> Column:
+            text = F.array_join(F.slice(lines, i + 1, j - i + 1), "\n")
+            return F.struct(i.alias("at"), j.alias("last"), F.unhex(F.sha2(text, 256)).alias("run"))
+
+        def rightwards(s: Column) -> Column:
+            return F.transform(F.sequence(s["low"], s["high"]), lambda i: let(_last(begin, end, i, length), lambda j: run(i, j)))
+
+        def leftwards(s: Column) -> Column:
+            # Up to where runs from the next spot's first line on can end; those that begin with a window are there already.
+            stop = F.when(s["high"] + 1 < n, F.least(_last(begin, end, s["high"] + 1, length), n)).otherwise(n) - 1
+            lasts = let(F.struct(_last(begin, end, s["low"], length).alias("j"), stop.alias("k")), lambda x: F.when(x["j"] <= x["k"], F.sequence(x["j"], x["k"])).otherwise(F.array().cast("array<int>")))
+            known = lambda i, j: _last(begin, end, i, length) == j
+            return F.filter(F.transform(lasts, lambda j: let(_first(begin, end, j, length), lambda i: F.when(~known(i, j), run(i, j)))), lambda r: r.isNotNull())
+
+        return F.flatten(F.transform("spots", lambda s: F.concat(rightwards(s), leftwards(s))))
 
-    grown = both.select("d", "t", "lines", F.explode(F.flatten(F.transform("spots", around))).alias("r"))
-    return grown.select("d", "t", "r.at", "r.last", F.unhex(F.sha2(F.array_join(F.slice("lines", F.col("r.at") + 1, F.col("r.last") - F.col("r.at") + 1), "\n"), 256)).alias("run"))
+    both = rows.where("text is not null").join(spots, ["d", "t"])
+    return both.select("d", "t", F.inline(_measured(F.col("text"), grown)))
 
 
 def repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
