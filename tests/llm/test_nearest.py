@@ -1,7 +1,8 @@
 import numpy as np
 import pytest
 
-from tidewright.llm.nearest import Cells, chi2_cdf, chi2_quantile, nearest
+from tidewright.llm import nearest as module
+from tidewright.llm.nearest import CERTAINTY, DIMENSIONS, Cells, Index, chi2_cdf, chi2_quantile, nearest, projection, unit
 
 
 def brute(rows, queries, k=5):
@@ -80,3 +81,49 @@ def test_chi_square():
     x = np.array([0.5, 3.0, 10.0, 40.0])
     assert chi2_cdf(x, 2) == pytest.approx(1 - np.exp(-x / 2))
     assert chi2_cdf(np.array([chi2_quantile(0.9, 7)]), 7)[0] == pytest.approx(0.9)
+
+
+def many(n, seed=7):
+    """Vectors without any structure, the hardest to tell apart."""
+    return np.random.default_rng(seed).standard_normal((n, 64))
+
+
+def test_recall_over_many_cells(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    x = many(52_000)
+    pq.write_table(pa.table({"vec_id": np.arange(len(x)), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float64()))}), tmp_path / "v.parquet")
+    table = spark.read.parquet(str(tmp_path / "v.parquet"))
+    got = {}
+    for r in nearest(table, table.where("vec_id % 500 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    y = x / np.sqrt((x * x).sum(1))[:, None]
+    found = 0
+    for q in range(0, len(x), 500):
+        cos = y @ y[q]
+        cos[q] = -2
+        found += len(got[q] & set(np.argpartition(-cos, 5)[:5].tolist()))
+    assert found >= 0.9 * 5 * len(got) and len(got) == 104
+
+
+def test_the_stopping_test_stops():
+    x = many(50_000)
+    spread, limit = projection(64), chi2_quantile(CERTAINTY, DIMENSIONS)
+    index, points = Index(x, spread), unit(x[:50]) @ spread
+    verified = [index.search(x[i], points[i], 6, 8.0, limit)[2] for i in range(50)]
+    assert np.mean(verified) < 0.45 * len(x)
+
+
+def test_cells_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(module, "CELL", 40)
+    monkeypatch.setattr(module, "SAMPLE", 64)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(6).tolist()) for i in range(900)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in nearest(table, table.where("vec_id % 50 = 0")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute(rows, [r for r in rows if r[0] % 50 == 0])
+    assert all(len(v) == 5 for v in got.values())
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.95 * 5 * len(want)

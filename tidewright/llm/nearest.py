@@ -6,18 +6,17 @@ from collections.abc import Iterator
 from math import lgamma
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle, shuffle_width
 
-#: Projected dimensions, and the probability with which each unseen vector would have been nearer.
-DIMENSIONS, CERTAINTY = 10, 0.98
+#: Projected dimensions, and the probability with which a vector that was left out would not have been nearer.
+DIMENSIONS, CERTAINTY = 24, 0.97
 SEED = 5
-#: Vectors that the splits of the index are fitted on, at most; vectors in a leaf, and in a cell.
-SAMPLE, LEAF, CELL = 20_000, 64, 8_192
+#: Vectors that the splits of the index are fitted on, at most, and for each cell at least; vectors in a leaf, and about as many in a part of a cell at most.
+SAMPLE, FITTED, LEAF, CELL = 20_000, 8, 64, 8_192
 
 
 def chi2_cdf(x: np.ndarray, k: int) -> np.ndarray:
@@ -121,39 +120,47 @@ class Index:
         self.vectors = vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         points = unit(vectors) @ spread
-        self.leaves = leaves(points)
+        self.points, self.leaves = points, leaves(points)
         self.low = np.array([points[x].min(axis=0) for x in self.leaves])
         self.high = np.array([points[x].max(axis=0) for x in self.leaves])
 
-    def search(self, query: np.ndarray, point: np.ndarray, k: int, bound: float, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of vectors among which the k nearest are, each with CERTAINTY.
+    def search(self, query: np.ndarray, point: np.ndarray, k: int, bound: float, limit: float) -> tuple[np.ndarray, np.ndarray, int]:
+        """Places and cosines of vectors among which each of the k nearest is with CERTAINTY, and how many were verified.
 
-        Leaves are verified by their projected distance until the test holds: if an unseen vector
-        were nearer than the k-th found, at squared distance d, its squared projected distance over
-        d would be chi-square, and the next leaf's is beyond that law's quantile (limit).
-        bound: the k-th squared distance already known from elsewhere.
+        Vectors are met leaf by leaf and within a few leaves by their projected distance, and
+        verified until the test holds: if an unseen vector were nearer than the k-th found, at
+        squared distance d, its squared projected distance over d would be chi-square, and that of
+        all others is beyond the law's quantile (limit). bound: the k-th squared distance already
+        known from elsewhere.
         """
         gap = np.maximum(0, np.maximum(self.low - point, point - self.high))
         near = (gap * gap).sum(axis=1)
         order = np.argsort(near)
         length = np.sqrt((query * query).sum())
-        best, places, scores, at, step = bound, [], [], 0, 4
+        best, places, scores, at, step, n = bound, [], [], 0, 4, 0
         held = np.empty(0)
         while at < len(order) and near[order[at]] <= limit * best:
             part = order[at : at + step]
-            part = part[near[part] <= limit * best]
-            own = np.concatenate([self.leaves[j] for j in part])
-            cos = (self.vectors[own] @ query) / (self.norms[own] * length)
-            places.append(own), scores.append(cos)
-            held = np.sort(np.r_[held, cos])[-k:]
-            if len(held) == k:
-                best = min(best, max(0.0, 2 - 2 * held[0]) + 1e-12)
+            own = np.concatenate([self.leaves[j] for j in part[near[part] <= limit * best]])
+            away = self.points[own] - point
+            away = (away * away).sum(axis=1)
+            sorted_ = np.argsort(away)
+            own, away = own[sorted_], away[sorted_]
+            lo = 0
+            while lo < len(own) and away[lo] <= limit * best:
+                some = own[lo : lo + 64][away[lo : lo + 64] <= limit * best]
+                cos = (self.vectors[some] @ query) / (self.norms[some] * length)
+                places.append(some), scores.append(cos)
+                held = np.sort(np.r_[held, cos])[-k:]
+                if len(held) == k:
+                    best = min(best, max(0.0, 2 - 2 * held[0]) + 1e-12)
+                lo, n = lo + 64, n + len(some)
             at, step = at + step, min(64, 2 * step)
         if not places:
-            return np.empty(0, np.int64), np.empty(0)
+            return np.empty(0, np.int64), np.empty(0), 0
         places, scores = np.concatenate(places), np.concatenate(scores)
         keep = scores >= (held[0] if len(held) == k else -2)
-        return places[keep], scores[keep]
+        return places[keep], scores[keep], n
 
 
 def usable(vector: str = "vector") -> Column:
@@ -177,8 +184,10 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     they stand, each different vector of a query's id is a query, and none finds its own id. An empty table gives an empty result.
 
     Vectors are dealt to the cells of a kd-tree over DIMENSIONS normal projections; its splits are
-    fitted on SAMPLE vectors at most, all vectors are indexed. A query is searched in its own cell
-    first; what it found there decides to which other cells it must go at all.
+    fitted on SAMPLE vectors at most, all vectors are indexed. Cells that hold more than CELL
+    vectors, as a bounded sample cannot split without end, are dealt in parts. A query is searched
+    in a part of its own cell first; what it found there decides to which others it must go at all.
+    A task holds the vectors of one part and reads queries as they come.
     """
     width = shuffle_width(table.sparkSession)
     cols = [F.col(vec_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vector")]
@@ -198,12 +207,50 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec
     return out
 
 
+_FOUND = "query_id long, q long, score double, vec_id long"
+
+
+def _searched(spread: np.ndarray, limit: float, k: int):
+    """part, kind, vector, ids, query_id, q, bound, by part and kind: the part's vectors (0) before its queries (1)."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, vectors, ids, index = None, [], [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero(np.r_[True, (np.diff(part) != 0) | (np.diff(kind) != 0), True])
+            found: list[tuple] = []
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if part[a] != now:
+                    now, vectors, ids, index = part[a], [], [], None
+                own = _matrix(batch.column(2).slice(a, b - a))
+                if kind[a] == 0:
+                    vectors.append(own)
+                    ids += batch.column(3).slice(a, b - a).to_pylist()
+                    continue
+                if not vectors:
+                    continue
+                index = index or Index(np.concatenate(vectors), spread)
+                points = unit(own) @ spread
+                for x, p, r in zip(own, points, range(a, b), strict=True):
+                    query_id, q = batch.column(4)[r].as_py(), batch.column(5)[r].as_py()
+                    # One more than asked: the query's own vector may be among them.
+                    places, scores, _ = index.search(x, p, k + 1, batch.column(6)[r].as_py(), limit)
+                    hits = sorted((-c, i) for at, c in zip(places.tolist(), scores.tolist(), strict=True) for i in ids[at] if i != query_id)[:k]
+                    found += [(query_id, q, -c, i) for c, i in hits]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["query_id", "q", "score", "vec_id"])
+
+    return look
+
+
 def _nearest_of(classes: DataFrame, asked: DataFrame, size: int, k: int, width: int) -> DataFrame:
     spread = projection(size)
     limit = chi2_quantile(CERTAINTY, DIMENSIONS)
     total = classes.count()
     sample = classes.select("vector").sample(False, min(1.0, 1.2 * SAMPLE / max(1, total)), SEED).limit(SAMPLE).toPandas()
-    depth = int(np.ceil(np.log2(max(1, total / CELL)))) if len(sample) else 0
+    depth = min(int(np.ceil(np.log2(max(1, total / CELL)))), int(np.log2(max(1, len(sample) / FITTED)))) if len(sample) else 0
     points = unit(np.array(sample["vector"].tolist(), float)) @ spread if len(sample) else np.zeros((0, DIMENSIONS))
     cells = Cells(points, depth)
 
@@ -213,47 +260,54 @@ def _nearest_of(classes: DataFrame, asked: DataFrame, size: int, k: int, width:
                 at = cells.of(unit(_matrix(batch.column(0))) @ spread)
                 yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0), batch.column(1)], ["cell", "vector", "ids"])
 
-    found_schema = "query_id long, q long, score double, vec_id long"
-
-    def look(key: tuple, own: pd.DataFrame, coming: pd.DataFrame) -> pd.DataFrame:
-        q, o, s, v = [], [], [], []
-        if len(own) and len(coming):
-            index = Index(np.array(own["vector"].tolist(), float), spread)
-            ids = own["ids"].tolist()
-            vectors = np.array(coming["vector"].tolist(), float)
-            points = unit(vectors) @ spread
-            for query_id, own_q, x, p, bound in zip(coming["query_id"].tolist(), coming["q"].tolist(), vectors, points, coming["bound"].tolist(), strict=True):
-                # One more than asked: the query's own vector may be among them.
-                places, scores = index.search(x, p, k + 1, bound, limit)
-                hits = sorted((-c, i) for at, c in zip(places.tolist(), scores.tolist(), strict=True) for i in ids[at] if i != query_id)[:k]
-                q += [query_id] * len(hits)
-                o += [own_q] * len(hits)
-                s += [-c for c, _ in hits]
-                v += [i for _, i in hits]
-        return pd.DataFrame({"query_id": pd.Series(q, dtype="int64"), "q": pd.Series(o, dtype="int64"), "score": pd.Series(s, dtype="float64"), "vec_id": pd.Series(v, dtype="int64")})
-
-    placed = settle(classes.select("vector", "ids").mapInArrow(dealt, "cell long, vector array<double>, ids array<long>").repartition(width, "cell"))
-    queries = settle(asked.select("vector", F.array("id").alias("ids")).mapInArrow(dealt, "cell long, vector array<double>, ids array<long>").select(F.col("cell").alias("home"), "vector", F.col("ids")[0].alias("query_id"), F.xxhash64(F.col("ids")[0], "vector").alias("q")))
-    at_home = queries.select(F.col("home").alias("cell"), "query_id", "q", "vector", F.lit(8.0).alias("bound"))
-    first = settle(placed.groupBy("cell").cogroup(at_home.groupBy("cell")).applyInPandas(look, found_schema))
-    # The distance of the k-th found at home; a query with fewer must go everywhere.
-    bound = first.groupBy("query_id", "q").agg(F.min("score").alias("low"), F.count("*").alias("n"))
-    bound = queries.join(bound, ["query_id", "q"], "left").withColumn("bound", F.when(F.col("n") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.col("low")) + 1e-9).otherwise(8.0))
+    of_cell = "cell long, vector array<double>, ids array<long>"
+    placed = settle(classes.select("vector", "ids").mapInArrow(dealt, of_cell))
+    # One row for each cell, of which there are SAMPLE / FITTED at most.
+    counts = np.zeros(1 << depth, np.int64)
+    for r in placed.groupBy("cell").count().collect():
+        counts[r.cell] = r["count"]
+    parts = np.maximum(1, -(-counts // CELL))
+    first = np.cumsum(parts) - parts
+
+    def to_part(cell: np.ndarray, by: np.ndarray) -> np.ndarray:
+        return first[cell] + by % parts[cell]
+
+    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array(to_part(batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 16)), batch.column(2), batch.column(3)], ["part", "vector", "ids"])
+
+    held = placed.select("cell", F.xxhash64("vector").alias("by"), "vector", "ids").mapInArrow(spread_out, "part long, vector array<double>, ids array<long>")
+    none = [F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("double").alias("bound")]
+    held = held.select("part", F.lit(0).alias("kind"), "vector", "ids", *none)
+    queries = settle(asked.select("vector", F.array("id").alias("ids")).mapInArrow(dealt, of_cell).select("cell", "vector", F.col("ids")[0].alias("query_id"), F.xxhash64(F.col("ids")[0], "vector").alias("q")))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """cell, vector, query_id, q, bound -> a row for each part to search: at home one (bound null), then all others that are reached."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p = unit(_matrix(batch.column(3))) @ spread
-            home, most = batch.column(2).to_numpy(), limit * batch.column(4).to_numpy()
-            go, cell = cells.reached(p, most)
-            away = home[go] != cell
-            go, cell = go[away], cell[away]
-            if len(go):
-                part = batch.take(pa.array(go))
-                yield pa.RecordBatch.from_arrays([pa.array(cell), part.column(0), part.column(1), part.column(3), part.column(4)], ["cell", "query_id", "q", "vector", "bound"])
-
-    away = bound.select("query_id", "q", "home", "vector", "bound").mapInArrow(sent, "cell long, query_id long, q long, vector array<double>, bound double")
-    second = placed.groupBy("cell").cogroup(away.groupBy("cell")).applyInPandas(look, found_schema)
-    ranked = first.union(second).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")))
+            home = to_part(batch.column(0).to_numpy(), batch.column(3).to_numpy() >> 16)
+            if batch.column(4).null_count:
+                go, part, most = np.arange(len(home)), home, np.full(len(home), 8.0)
+            else:
+                most = batch.column(4).to_numpy()
+                go, cell = cells.reached(unit(_matrix(batch.column(1))) @ spread, limit * most)
+                n = parts[cell]
+                go, part = np.repeat(go, n), np.repeat(first[cell], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                go, part = go[part != home[go]], part[part != home[go]]
+            for lo in range(0, len(go), 4096):
+                own = batch.take(pa.array(go[lo : lo + 4096]))
+                yield pa.RecordBatch.from_arrays([pa.array(part[lo : lo + 4096]), own.column(1), own.column(2), own.column(3), pa.array(most[go[lo : lo + 4096]])], ["part", "vector", "query_id", "q", "bound"])
+
+    def search(coming: DataFrame) -> DataFrame:
+        rows = coming.select("cell", "vector", "query_id", "q", "bound").mapInArrow(sent, "part long, vector array<double>, query_id long, q long, bound double")
+        rows = held.union(rows.select("part", F.lit(1).alias("kind"), "vector", F.lit(None).cast("array<long>").alias("ids"), "query_id", "q", "bound"))
+        return rows.repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(_searched(spread, limit, k), _FOUND)
+
+    at_home = settle(search(queries.withColumn("bound", F.lit(None).cast("double"))))
+    # The distance of the k-th found at home; a query with fewer must go everywhere.
+    bound = at_home.groupBy("query_id", "q").agg(F.min("score").alias("low"), F.count("*").alias("n"))
+    bound = queries.join(bound, ["query_id", "q"], "left").withColumn("bound", F.when(F.col("n") >= k, F.greatest(F.lit(0.0), 2 - 2 * F.col("low")) + 1e-9).otherwise(8.0))
+    ranked = at_home.union(search(bound)).withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
