@@ -11,6 +11,8 @@ from tidewright.llm.leaks import leak_pairs  # noqa: E402
 from tidewright.llm.mixing import mix_sizes  # noqa: E402
 from tidewright.llm.simhash import one_of_each  # noqa: E402
 
+from tests.llm.test_shingles import brute_firsts  # noqa: E402, I001
+
 
 def test_stages_follow_their_operators(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
@@ -19,9 +21,7 @@ def test_stages_follow_their_operators(spark, sf_dir):
     now = [f for _, f in corpus_pipeline.STAGES]
     a = now[0](spark, docs, sf_dir).cache()
     assert a.columns == docs.columns and {r.doc_id for r in a.collect()} == kept and len(kept) >= 0.98 * len(rows)
-    from tests.llm.test_simhash import brute_components
-
-    firsts = {c for _, _, c in brute_components([(i, rows[i].text) for i in kept])}
+    firsts = set(brute_firsts([(i, rows[i].text) for i in kept]))
     b = now[1](spark, a, sf_dir).cache()
     assert b.columns == docs.columns and sorted(r.doc_id for r in b.collect()) == sorted(firsts)
     leaked = {r.doc_id for r in leak_pairs(b, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).collect()}

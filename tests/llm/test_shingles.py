@@ -69,3 +69,15 @@ def test_like_spans_all_pairs():
         return {tuple(np.flatnonzero(label == x)) for x in label}
 
     assert roots(like(sets)) == roots(pairs) and set(like(sets)) <= set(pairs)
+
+
+def test_fingerprints_within_the_radius_share_a_covering_key():
+    rng = np.random.default_rng(2)
+    from tidewright.llm import shingles
+    from tidewright.llm.simhash import masks
+
+    for _ in range(200):
+        fp = rng.integers(0, 1 << 63, 1, dtype=np.uint64)
+        other = fp ^ np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64))
+        keys = [shingles.covering_keys([[int(x[0])]])[0] for x in (fp, other)]
+        assert len(keys[0]) == len(masks()) and (keys[0] == keys[1]).any()

@@ -7,23 +7,28 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
-_DROP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While a table is settled: its shuffle files go when the job ends, as nothing reads them again, and
+#: Python workers get texts in batches of so many bytes, however long each is.
+_WHILE = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 
 def work_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    Where no checkpoint folder is set (tests, local mode) one is made in the temp folder and
-    removed when the process ends.
+    Where no checkpoint folder is set, local sessions (tests) get one in the temp folder, which is
+    removed when the process ends; on a cluster, whose executors could not see it, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{_local_base()}"
     return f"{base.rstrip('/')}/tw-{uuid.uuid4().hex}"
 
@@ -38,18 +43,25 @@ def _local_base() -> str:
     return _LOCAL[0]
 
 
-def settle(df: DataFrame, path: str | None = None) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage.
+@contextmanager
+def settling(spark: SparkSession) -> Iterator[None]:
+    """_WHILE for the jobs inside; the session's own settings hold again afterwards."""
+    before = {k: spark.conf.get(k) for k in _WHILE}
+    for k, v in _WHILE.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
-    The shuffle files of the job are dropped when it ends: nothing reads them again.
-    """
+
+def settle(df: DataFrame, path: str | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
-    path, before = path or work_dir(spark), spark.conf.get(_DROP)
-    spark.conf.set(_DROP, "true")
-    try:
+    path = path or work_dir(spark)
+    with settling(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_DROP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._tw_path = path
     return out

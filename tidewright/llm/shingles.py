@@ -1,4 +1,9 @@
-"""Near-duplicates by the shingles of their words: MinHash bands for candidates, exact similarity for links."""
+"""Near-duplicates by a similarity of their shingles: the covering tables of SimHash with bands beside them, and exact similarity for links.
+
+Fingerprints at RADIUS bits always meet in a covering table. Texts at a similarity of 0.8 have
+fingerprints some ten bits apart, and covering those takes thousands of tables; what lies beyond the
+radius is found by bands of least hashes instead. Either only proposes pairs to be compared exactly.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +17,14 @@ from pyspark.sql import functions as F
 
 from .common import binary, each_text, settle, shuffle_width
 from .components import connected_components
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, fingerprint_hashes, masks, shingle_hashes
 
 #: Words in a shingle; texts are linked from OF / PARTS of their joint shingles in common, 0.8.
 SHINGLE, OF, PARTS = 5, 4, 5
 #: Bands, and minima in each: a pair at 0.8 shares none with probability (1 - 0.8^4)^24, 3 in a million, and less above.
 BANDS, ROWS = 24, 4
+#: Hashes that are compared with a set at a time.
+COMPARED = 1 << 20
 #: Documents without an id come after all others.
 LAST = (1 << 63) - 1
 _FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -41,32 +48,59 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def covering_keys(hashes: list[list[int]]) -> np.ndarray:
+    """A row for each text, from its shingles' hashes: the masked SimHash fingerprint of each covering table, told apart by table."""
+    fp = fingerprint_hashes(hashes)
+    table = masks()
+    key = (fp[:, None] & table) ^ (np.arange(1, len(table) + 1, dtype=np.uint64) * _MIX)
+    key *= np.uint64(0xD6E8FEB86659FD93)
+    return key ^ (key >> np.uint64(29))
+
+
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """d, t, text -> d, t, a hash of the text's set of shingles and its bands (none where the set is empty)."""
+    """d, t, text -> d, t, a hash of the text's set of shingles and the keys under which it is looked for (none where the set is empty)."""
+    n_keys = BANDS + len(masks())
     for batch in batches:
-        k, ends, keys, held, size = [], [0], [], [], 0
+        k, ends, keys, held, lists, size = [], [0], [], [], [], 0
+
+        def put(keys=keys, held=held, lists=lists) -> None:
+            if held:
+                keys.append(np.concatenate([bands(held), covering_keys(lists)], axis=1).ravel())
+                held.clear(), lists.clear()
+
         for text in each_text(batch.column(2)):
-            own = shingle_set(text)
+            every = shingle_hashes(text, SHINGLE)
+            own = np.unique(np.array(every, np.uint64))
             k.append(xxhash.xxh3_64_intdigest(own.tobytes(), SEED))
-            ends.append(ends[-1] + BANDS * bool(len(own)))
+            ends.append(ends[-1] + n_keys * bool(len(own)))
             if len(own):
-                held.append(own)
-                size += len(own)
+                held.append(own), lists.append(every)
+                size += len(every)
             if size > 50_000:
-                keys.append(bands(held).ravel())
-                held, size = [], 0
-        if held:
-            keys.append(bands(held).ravel())
+                put()
+                size = 0
+        put()
         keys = np.concatenate(keys) if keys else np.empty(0, np.uint64)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(k, np.uint64).view(np.int64)), lists], ["d", "t", "k", "bands"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(k, np.uint64).view(np.int64)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.view(np.int64)))], ["d", "t", "k", "bands"])
+
 
+def _sets(batches: Iterator[pa.RecordBatch], limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """k, text -> k and the text's shingles, about limit hashes at a time."""
+
+    def packed(k: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), binary(np.concatenate(sets).view(np.uint8), np.cumsum([0, *(8 * len(s) for s in sets)])).cast(pa.binary())], ["k", "shingles"])
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingle_set(text) for text in each_text(batch.column(1))]
+        k, sets, size = [], [], 0
+        for one, text in zip(batch.column(0).to_pylist(), each_text(batch.column(1)), strict=True):
+            own = shingle_set(text)
+            k.append(one), sets.append(own)
+            size += len(own)
+            if size > limit:
+                yield packed(k, sets)
+                k, sets, size = [], [], 0
         if sets:
-            yield pa.RecordBatch.from_arrays([batch.column(0), binary(np.concatenate(sets).view(np.uint8), np.cumsum([0, *(8 * len(s) for s in sets)])).cast(pa.binary())], ["k", "shingles"])
+            yield packed(k, sets)
 
 
 def like(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -77,9 +111,15 @@ def like(sets: list[np.ndarray]) -> list[tuple[int, int]]:
         more = more[(label[more] != label[i]) & (PARTS * np.minimum(n[more], n[i]) >= OF * np.maximum(n[more], n[i]))]
         if not len(more):
             continue
-        every = np.concatenate([sets[j] for j in more])
-        at = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
-        both = np.add.reduceat((sets[i][at] == every).astype(np.int64), np.cumsum([0, *n[more]])[:-1])
+        # Some at a time, so that what is compared is not held a second time.
+        both, upto = np.empty(len(more), np.int64), np.cumsum(n[more])
+        at = 0
+        while at < len(more):
+            to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + COMPARED, "right")))
+            every = np.concatenate([sets[j] for j in more[at:to]])
+            place = np.minimum(np.searchsorted(sets[i], every), n[i] - 1)
+            both[at:to] = np.add.reduceat((sets[i][place] == every).astype(np.int64), np.cumsum([0, *n[more[at:to]]])[:-1])
+            at = to
         near = more[PARTS * both >= OF * (n[more] + n[i] - both)]
         found, first = np.unique(label[near], return_index=True)
         out += [(i, j) for j in near[first].tolist()]
@@ -112,9 +152,9 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
 
     Two texts are linked if their sets of five-word shingles (shorter texts: one shingle of all
     words; A-Z in lower case, words split at ASCII white space) have a Jaccard similarity of 0.8 or
-    more; groups are what links connect. Equal sets are one class. Classes that share a MinHash band
-    are compared exactly, and each set of classes that share one only once: rows grow with the
-    classes, not with their pairs. Texts without words are one group. Of rows with the smallest
+    more; groups are what links connect. Equal sets are one class. Classes that share a covering
+    table's key or a band are compared exactly, and each set of classes that share one only once:
+    rows grow with the classes, not with their pairs. Texts without words are one group. Of rows with the smallest
     doc_id the one whose text has the smallest hash stays, and of equal ones any; rows without a
     doc_id come last.
     """

@@ -57,6 +57,11 @@ def _majority(hashes: list[int], counts: list[int]) -> np.ndarray:
     return out
 
 
+def fingerprint_hashes(hashes: list[list[int]]) -> np.ndarray:
+    """The fingerprint of each of the lists of hashes."""
+    return _majority([x for own in hashes for x in own], [len(own) for own in hashes])
+
+
 def fingerprint_texts(texts: Iterable[bytes]) -> np.ndarray:
     out, hashes, counts = [], [], []
     for text in texts:

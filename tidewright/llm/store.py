@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, each_text, flat, shuffle_width, work_dir
+from .common import as_bytes, each_text, flat, settling, shuffle_width, work_dir
 from .encoding import WordEncoder
 
 #: Ids under the rolling hash, and chunk lengths: 1 in MEAN places is a cut.
@@ -195,12 +195,14 @@ def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower:
     made = rows.mapInArrow(_chunker(path, lower, end_id, wide), "kind string, doc_id long, n_tokens long, digest binary, body binary, uid long")
     # Chunks have no uid and go by their digest, of which one row stays; documents are dealt evenly and all stay.
     once = made.repartition(width, "kind", "digest", "uid").dropDuplicates(["kind", "digest", "uid"]).drop("uid")
-    once.write.partitionBy("kind").option("compression", "snappy").parquet(f"{store}/packs")
+    with settling(spark):
+        once.write.partitionBy("kind").option("compression", "snappy").parquet(f"{store}/packs")
     found = spark.read.schema(once.schema).parquet(f"{store}/packs").where("kind = 'doc'")
     ordered = found.select("doc_id", "n_tokens", F.col("digest").alias("root"), F.col("body").alias("recipe"), F.col("doc_id").isNull().alias("last"))
     ordered = ordered.repartitionByRange(width, "last", "doc_id", "root").sortWithinPartitions("last", "doc_id", "root")
     ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", F.monotonically_increasing_id().alias("row"), "n_tokens", "recipe", "root")
-    ordered.write.parquet(f"{store}/recipes")
+    with settling(spark):
+        ordered.write.parquet(f"{store}/recipes")
     parts = sorted(_part_roots(_recipes(spark, store)).collect(), key=lambda r: r.part)  # one row for each part
     starts = np.cumsum([0, *(r.tokens for r in parts)]).tolist()
     rows = [(r.part, r.docs, r.tokens, bytes(r.root), at, 4 if wide else 2) for r, at in zip(parts, starts, strict=False)]
