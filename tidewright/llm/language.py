@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import flat, settle
 
-#: Labelled texts that the likelihoods are fitted on, for each language; languages at most; texts that make one.
-SAMPLE, LANGUAGES, LEAST = 400, 64, 5
+#: Labelled texts that the likelihoods are fitted on, for each language; languages at most, so that the model's size is bounded; texts that make one.
+SAMPLE, LANGUAGES, LEAST = 400, 256, 5
 BITS = 16
 #: Neighbouring grams say much the same: their evidence counts by this share.
 TEMPER = 0.2
@@ -63,19 +63,26 @@ class Model:
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Model:
-    """Gram frequencies of each language from at most sample labelled texts, the first by a hash.
+    """Gram frequencies of each language from at most sample different labelled texts, those with the least hashes.
 
-    Languages with fewer than LEAST labelled texts are left out, and all but the LANGUAGES most
-    frequent ones. Only whole texts are counted; rows without text or label are not.
+    Labels with fewer than LEAST texts make no language, and of more than LANGUAGES the
+    most frequent ones do; see document_languages for what is declared to be in another. Only
+    whole texts are counted; rows without text or label are not. A language's texts are thinned by
+    their hashes to a few times sample before any are ordered, so a language that most rows have
+    costs no more than another.
     """
+    place = F.xxhash64("text", F.lit(3))
     rows = labelled.select(F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")).where("lang is not null and length(trim(text)) > 0")
-    found = rows.groupBy("lang").count().where(F.col("count") >= LEAST).orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    different = settle(rows.groupBy("lang", place.alias("place")).agg(F.count("*").alias("texts")))
+    found = different.groupBy("lang").agg(F.sum("texts").alias("texts"), F.count("*").alias("different")).where(F.col("texts") >= LEAST).orderBy(F.desc("texts"), "lang").limit(LANGUAGES)
+    found = settle(found).collect()
     languages = sorted(r.lang for r in found)
     counts = np.zeros((len(languages), 1 << BITS), np.int64)
     if languages:
-        place = F.xxhash64("text", F.lit(3))
-        chosen = rows.where(F.col("lang").isin(languages)).select("lang", place.alias("place")).distinct()
-        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= sample).select("lang", "place")
+        # One row for each language; four times as many texts as are wanted stay on average.
+        share = labelled.sparkSession.createDataFrame([(r.lang, min(1.0, 4.0 * sample / r.different)) for r in found], "lang string, share double")
+        thin = different.join(F.broadcast(share), "lang").where((F.col("place") / F.lit(float(1 << 64)) + 0.5) <= F.col("share"))
+        chosen = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= sample).select("lang", "place")
         # At most sample x LANGUAGES rows of two columns.
         own = rows.withColumn("place", place).join(F.broadcast(chosen), ["lang", "place"], "left_semi").dropDuplicates(["lang", "place"])
         for r in own.select("lang", "text").mapInArrow(lambda b: _histograms(b, languages), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -186,17 +193,34 @@ def document_languages(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """doc_id, declared, language, posterior, kept of every row of docs.
 
     The column lang is both the label of the bounded sample that the likelihoods are fitted on and
-    the declared language of each document; its source is its host, without domain or suffix.
-    Null, empty or letterless texts have language null and are not kept; a null lang or source
+    the declared language of each document. Its source is its host, and where that is the name of
+    one (labels parted by dots, or an address that has it) also has a suffix and a domain.
+    A declared language without a model cannot be told: language is null, and what has letters is
+    kept. Null, empty or letterless texts have language null and are not kept; a null lang or source
     gives no evidence; repeated rows are judged alike. Without any labelled text nothing is kept;
     an empty table gives an empty result. Other columns are not read.
     """
     model = fit(docs, text, lang, sample)
-    none = F.lit(None).cast("string")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), F.col(lang).alias("_lang"), F.col(source).alias("_host"), *(extra or []))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"), F.col(lang).cast("string").alias("_lang"), F.col(source).cast("string").alias("_host"), *(extra or []))
     more = rows.columns[4:]
-    out = identify(rows, model, ["doc_id", *more], F.col("_text"), F.col("_lang"), none, F.col("_host"), none)
-    return out.select("doc_id", *more, "declared", "language", "posterior", "kept")
+    suffix, host, domain = address_parts(F.col("_host"))
+    out = identify(rows, model, ["doc_id", *more], F.col("_text"), F.col("_lang"), suffix, F.coalesce(host, F.col("_host")), domain)
+    strange = F.col("declared").isNotNull() & ~F.coalesce(F.col("declared").isin(model.languages), F.lit(False))
+    language = F.when(~strange | F.lit(not model.languages), F.col("language")).alias("language")
+    return out.select("doc_id", *more, "declared", language, "posterior", (F.col("kept") | (strange & (F.col("n") > 0) & F.lit(bool(model.languages)))).alias("kept"))
+
+
+def address_parts(address: Column) -> tuple[Column, Column, Column]:
+    """Suffix, host and domain of an address or of the bare name of a host; null where there is none.
+
+    Suffix: the first part of the path if it has two letters, else the last label of the host's
+    name; domain: its last two labels.
+    """
+    bare = F.lower(F.regexp_extract(address, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?(?:[^/?#@]*@)?((?:[\w-]+\.)+[A-Za-z][\w-]*)(?::\d+)?(?:[/?#]|$)", 1))
+    host = F.nullif(bare, F.lit(""))
+    path = F.nullif(F.lower(F.regexp_extract(address, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/([A-Za-z]{2})(?:/|$)", 1)), F.lit(""))
+    suffix = F.coalesce(path, F.nullif(F.regexp_extract(host, r"\.([^.]+)$", 1), F.lit("")))
+    return suffix, host, F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit(""))
 
 
 def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
@@ -212,17 +236,16 @@ def in_known_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def page_languages(pages: DataFrame, labelled: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, declared, language, posterior, kept of web pages.
 
-    Text: what is left without scripts, styles, comments and tags. Declared: the html tag's lang.
-    Suffix: the first part of the path if it has two letters, else the last label of the host's
-    name; domain: its last two labels. Null pages and addresses give no evidence.
+    Text: what is left without scripts, styles, comments and tags. Declared: the html tag's lang;
+    suffix, host and domain: see address_parts. Null pages and addresses give no evidence, and null,
+    empty or letterless pages have language null and are not kept; repeated rows, and rows with one
+    page_id, are judged one by one. An empty table gives an empty result, and without any labelled
+    text nothing is kept. Other columns are not read, whatever their names.
     """
     model = fit(labelled)
     body = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1>|<[^>]*>", " ")
     declared = F.nullif(F.lower(F.regexp_extract(F.col(html), r"(?i)<html[^>]*?\blang=[\"']?([a-z]{2})", 1)), F.lit(""))
-    host = F.nullif(F.lower(F.regexp_extract(F.col(url), r"^[a-z]+://([^/:?#]+)", 1)), F.lit(""))
-    path = F.nullif(F.lower(F.regexp_extract(F.col(url), r"^[a-z]+://[^/]+/([A-Za-z]{2})(?:/|$)", 1)), F.lit(""))
-    suffix = F.coalesce(path, F.nullif(F.regexp_extract(host, r"\.([a-z]+)$", 1), F.lit("")))
-    domain = F.nullif(F.regexp_extract(host, r"([^.]+\.[^.]+)$", 1), F.lit(""))
+    suffix, host, domain = address_parts(F.col(url))
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), body.alias("_text"), declared.alias("_lang"), suffix.alias("_suffix"), host.alias("_host"), domain.alias("_domain"))
     out = identify(rows, model, ["page_id"], *(F.col(c) for c in ("_text", "_lang", "_suffix", "_host", "_domain")))
     return out.select("page_id", "declared", "language", "posterior", "kept")
