@@ -111,3 +111,24 @@ def test_long_items_are_judged_whole(spark):
     got = leak_pairs(docs, bench).collect()
     assert sorted((r.doc_id, r.item_id) for r in got) == [(1, 1), (2, 2), (3, 2), (7, 1)]
     assert all(abs(r.share - 1) < 1e-9 and abs(r.answer - 1) < 1e-9 for r in got if r.doc_id < 3)
+
+
+def test_recall_of_paraphrases(spark):
+    """Items whose last third stands as it is, while up to half of the words before it are other ones or exchanged; documents of the same words otherwise."""
+    rng = np.random.default_rng(12)
+    draw = lambda n: [f"c{int(x)}" if x < 20 else f"v{int(y)}" for x, y in zip(rng.integers(0, 50, n), rng.integers(0, 3000, n), strict=True)]
+    items, texts = {i: draw(36) for i in range(120)}, {}
+    for d in range(400):
+        texts[d] = draw(500)
+        if d < 120:
+            words = list(items[d])
+            for k in rng.choice(24, 10, replace=False):
+                words[k] = draw(1)[0]
+            words[3], words[4] = words[4], words[3]
+            texts[d][200:200] = words
+    docs = spark.createDataFrame([(d, " ".join(x)) for d, x in texts.items()], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in items.items()], "item_id long, text string")
+    got = leak_pairs(docs, bench).collect()
+    assert len({(r.doc_id, r.item_id) for r in got if r.doc_id == r.item_id}) >= 0.9 * 120
+    assert sum(r.doc_id != r.item_id for r in got) == 0
+    assert sum(r.share < 0.6 for r in got) > 0  # some by their cosine alone

@@ -1,4 +1,4 @@
-"""Benchmark decontamination: exact candidates by weight, their latent cosine, then subsequence and answer checks."""
+"""Benchmark decontamination: latent semantic candidates, then subsequence and answer checks; what has most of an item's words is checked in any case."""
 
 from __future__ import annotations
 
@@ -15,10 +15,12 @@ from .common import discard, each_text, flat, settle
 
 #: Blocks for which texts are read once, items searched together, and latent dimensions with their surplus.
 CHUNK, BLOCK, RANK, SURPLUS = 32, 256, 256, 32
-#: Terms in more than this share of documents take no part in the vectors, but for the RAREST of each item, and as many more as carry all but SHARE of its weight.
+#: Terms in more than this share of documents take no part in the vectors, but for the RAREST of each item, and as many more as carry all but LOOSE of its weight.
 COMMON, RAREST = 0.1, 8
 #: Least share of an item's weight found in order; that of its answer; share beyond which the answer isn't asked for.
 SHARE, ANSWER, PLAIN = 0.6, 0.5, 0.8
+#: The same for paraphrases: share, answer, and the latent cosine of the item with the words around what is shared.
+LOOSE, RECALLED, COSINE = 0.4, 0.9, 0.7
 #: Longest item in words that is searched in one piece; longer ones are searched in even pieces, so that windows stay short, and judged whole.
 LONGEST = 256
 SEED = 11
@@ -77,9 +79,9 @@ class Items:
             each, times = np.unique(w, return_counts=True)
             order = np.argsort(df[each], kind="stable")
             heavy = np.cumsum((times * idf[each])[order])
-            taking[each[order[: max(RAREST, 1 + int(np.searchsorted(heavy, (1 - SHARE) * heavy[-1], "right")))]]] = True
+            taking[each[order[: max(RAREST, 1 + int(np.searchsorted(heavy, (1 - LOOSE) * heavy[-1], "right")))]]] = True
         self.weight = np.where(taking, idf, 0.0).astype(np.float32)
-        # For each term that takes part, the items that have it and what it weighs in them; for each item, the least such weight of a window that has SHARE of the item.
+        # For each term that takes part, the items that have it and what it weighs in them; for each item, the least such weight of a window that has LOOSE of the item.
         parts = [np.unique(w[taking[w]], return_counts=True) for w in words]
         term, times = (np.concatenate([p[k] for p in parts]) for k in range(2))
         order = np.argsort(self.local[term], kind="stable")
@@ -87,10 +89,10 @@ class Items:
         self.share = (times * idf[term])[order]
         self.first = np.searchsorted(self.local[term][order], np.arange(self.size + 1))
         whole = np.array([idf[w].sum() for w in words])
-        self.least = SHARE * whole - (whole - np.bincount(self.item, self.share, len(words))) - 1e-9 * whole
+        self.least = LOOSE * whole - (whole - np.bincount(self.item, self.share, len(words))) - 1e-9 * whole
 
     def reached(self, term: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Passages and items, by passage, where the passage may have SHARE of the item's weight in any order; no other pair has."""
+        """Passages and items, by passage, where the passage may have LOOSE of the item's weight in any order; no other pair has."""
         passage = np.repeat(np.arange(len(new)), np.diff(np.r_[new, len(term)]))
         start, n = self.first[self.local[term]], np.diff(self.first)[self.local[term]]
         at = np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
@@ -233,23 +235,47 @@ def weighted_lcs(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> float:
     return float(row[-1])
 
 
+def around(at: np.ndarray, worth: np.ndarray, span: int) -> slice:
+    """The span words that hold the most worth, as a slice of at (their places, ascending)."""
+    upto = np.r_[0.0, np.cumsum(worth)]
+    stop = np.searchsorted(at, at + span)
+    best = int((upto[stop] - upto[:-1]).argmax())
+    return slice(best, int(stop[best]))
+
+
 def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray) -> Iterator[pa.RecordBatch]:
     """d, t, place, term -> the items that a document has, with its best window's cosine and shares."""
     look = items.vectors() @ basis
     look /= np.maximum(np.sqrt((look * look).sum(axis=1, keepdims=True)), 1e-30)
     answers = [w[-max(1, len(w) // 3) :] for w, _, _ in items.wholes]
     whole, ends = [items.idf[w].sum() for w in items.words], [items.idf[w].sum() for w in answers]
+    has = [np.unique(w) for w in items.words]
     half = items.window // 2
+    held = np.zeros(len(items.idf), bool)
+
+    def shared(words: np.ndarray, seq: np.ndarray) -> float:
+        """Weight of the item's words that occur in seq, in any order; bounds what is there in order."""
+        held[seq] = True
+        weight = items.idf[words][held[words]].sum()
+        held[seq] = False
+        return weight
+
+    def cosine(c: int, lo: int, hi: int) -> float:
+        """Latent cosine of item and the half as many words again around what they share between two places."""
+        worth = np.where(np.isin(term[lo:hi], has[c], kind="table"), items.idf[term[lo:hi]], 0.0)
+        own, times = np.unique(term[lo:hi][around(at[lo:hi], worth, 3 * len(items.words[c]) // 2 + 1)], return_counts=True)
+        taking = items.weight[own] > 0
+        own, times = own[taking], times[taking]
+        y = (np.sqrt(times) * items.weight[own]) @ basis[items.local[own]]
+        return float(y @ look[c] / max(np.sqrt(y @ y), 1e-30))
 
     def judged(c: int, d: int, w: int) -> tuple[float, float]:
-        """Shares of the whole item and of its answer around a window with SHARE of a piece, twice as many words to either side as the item has there."""
+        """Shares of the whole item and of its answer around a window that has enough of a piece, twice as many words to either side as the item has there."""
         words, a, b = items.wholes[c]
         own = at[offsets[d] : offsets[d + 1]]
         lo, hi = offsets[d] + np.searchsorted(own, [w * half - 2 * a, w * half + items.window + 2 * (len(words) - b)])
         seq, total = term[lo:hi], items.idf[words].sum()
-        held = np.zeros(len(items.idf), bool)
-        held[seq] = True
-        if items.idf[words][held[words]].sum() < SHARE * total:
+        if shared(words, seq) < LOOSE * total:
             return 0.0, 0.0
         return weighted_lcs(words, seq, items.idf) / total, weighted_lcs(answers[c], seq, items.idf) / ends[c]
 
@@ -257,35 +283,31 @@ def _verified(batches: Iterator[pa.RecordBatch], items: Items, basis: np.ndarray
         best: dict[tuple[int, int], tuple] = {}
         known: dict[tuple[int, int], tuple[float, float]] = {}  # by document and item: long ones that have been found by another piece
         (at, offsets), (term, _) = _ints(batch.column(2)), _ints(batch.column(3))
-        for doc, window, own, value, new in _passages(batch.column(2), batch.column(3), items.weight, items.window):
+        for doc, window, own, _, new in _passages(batch.column(2), batch.column(3), items.weight, items.window):
             rows, cols = items.reached(own, new)
-            stops, part, held = np.r_[new[1:], len(own)], None, None
+            part = None
             for r, c in zip(rows.tolist(), cols.tolist(), strict=True):
                 d, w = int(doc[new[r]]), int(window[new[r]])
                 if part != r:
                     lo, hi = offsets[d] + np.searchsorted(at[offsets[d] : offsets[d + 1]], [w * half, w * half + items.window])
                     part, seq = r, term[lo:hi]
-                    held = np.zeros(len(items.idf), bool)
-                    held[seq] = True
-                # What is there in any order bounds what is there in order.
                 words = items.words[c]
-                if items.idf[words][held[words]].sum() < SHARE * whole[c]:
+                there = shared(words, seq)
+                if there < LOOSE * whole[c]:
+                    continue
+                near = cosine(c, lo, hi)
+                if there < SHARE * whole[c] and near < COSINE:
                     continue
                 share = weighted_lcs(words, seq, items.idf) / whole[c]
-                if share < SHARE:
+                if share < LOOSE or (share < SHARE and near < COSINE):
                     continue
                 if len(words) < len(items.wholes[c][0]):
                     share, answer = known.get((d, int(items.ids[c]))) or judged(c, d, w)
-                    if share < SHARE:
-                        continue
-                    if answer >= ANSWER or share >= PLAIN:
-                        known[d, int(items.ids[c])] = share, answer
                 else:
                     answer = weighted_lcs(answers[c], seq, items.idf) / ends[c]
-                if answer >= ANSWER or share >= PLAIN:
-                    y = value[new[r] : stops[r]] @ basis[items.local[own[new[r] : stops[r]]]]
-                    cosine = float(y @ look[c] / max(np.sqrt(y @ y), 1e-30))
-                    best[d, c] = max(best.get((d, c), (0.0, 0.0, -1.0)), (share, answer, cosine))
+                if share >= PLAIN or (share >= SHARE and answer >= ANSWER) or (share >= LOOSE and answer >= RECALLED and near >= COSINE):
+                    known[d, int(items.ids[c])] = share, answer
+                    best[d, c] = max(best.get((d, c), (0.0, 0.0, -1.0)), (share, answer, near))
         if best:
             rows = pa.array([d for d, _ in best])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(items.ids[[c for _, c in best]]), *(pa.array([x[k] for x in best.values()]) for k in (2, 0, 1))], ["d", "t", "item_id", "cosine", "share", "answer"])
@@ -315,12 +337,15 @@ def _keyed(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """d, t, item_id, cosine, share, answer: the benchmark passages that documents hold.
 
-    Passages are overlapping windows of twice the longest item's words. A window that can have SHARE
-    of an item's weight (inverse document frequencies over all documents) in any order is a
-    candidate, whatever its cosine with the item in the latent space, which is told for what is
-    found; an item is held if a common subsequence of both carries SHARE of its weight and one of
-    its last third, the answer, ANSWER of that, or PLAIN of the whole. Items of more than LONGEST
-    words are searched in even pieces; around a piece that is found the whole item is judged so.
+    Passages are overlapping windows of twice the longest item's words. Those that can have LOOSE of
+    an item's weight (inverse document frequencies over all documents) in any order are looked at;
+    inverted lists of the items' terms give all of them. A candidate's latent cosine with the item,
+    over the words around what both share, is COSINE or more; windows that have SHARE of the weight
+    in any order are candidates whatever their cosine. An item is held if a common subsequence of
+    both carries SHARE of its weight and one of its last third, the answer, ANSWER of that, or PLAIN
+    of the whole; as a paraphrase, if it is a candidate by its cosine and LOOSE of the whole and
+    RECALLED of the answer are there. Items of more than LONGEST words are searched in even pieces;
+    around a piece that is found the whole item is judged so.
     Texts are read once for CHUNK blocks of BLOCK items, which bound what is sent to the tasks; each
     block then has its own latent space and reads the places of its terms only.
     Null, empty and wordless texts and items hold nothing; items without an id are left out; an
@@ -351,13 +376,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def leak_pairs(docs: DataFrame, benchmark: DataFrame, **names) -> DataFrame:
-    """doc_id, item_id, cosine, share, answer; rows with one doc_id are told apart by text only inside."""
+    """doc_id, item_id, cosine, share, answer: see leaks.
+
+    One row for each document and item, the best window's; equal rows of docs give one row, rows
+    with one doc_id and different texts one each. A null doc_id stays null. Null, empty and wordless
+    texts and items give none, nor do empty tables; other columns are not read, whatever their names.
+    """
     found = leaks(docs, benchmark, **names)
     return found.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "item_id", "cosine", "share", "answer")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **names) -> DataFrame:
-    """The rows of docs that hold no benchmark passage, with all their columns."""
+    """The rows of docs that hold no benchmark passage, with all their columns.
+
+    Repeated rows stay or go together; rows without an id, and rows with one id and different texts,
+    are judged one by one. Null and empty texts stay; an empty benchmark removes nothing.
+    """
     found = leaks(docs, benchmark, doc_id, text, **names).select("d", "t").distinct()
     own = F.col(text).cast("string")
     keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("t"))
