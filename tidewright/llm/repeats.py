@@ -420,7 +420,8 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     answered = asked.repartition(width, "key").mapInArrow(_answer, kinds)
     shared = settle(answered.repartition(width, "grp").mapInArrow(_by_document, "d long, t long, windows binary").groupBy("d", "t").agg(F.first("windows").alias("windows")))
     both = rows.select("d", "t", "text").join(shared, ["d", "t"])
-    around = both.select("d", "t", "text", "windows").mapInArrow(lambda b: _contexts(b, width, length), kinds)
+    # Several slices to a task, so that tasks get about as many.
+    around = both.select("d", "t", "text", "windows").mapInArrow(lambda b: _contexts(b, _SLICES * width, length), kinds)
     found = around.repartition(width, "key").mapInArrow(lambda b: _earlier(b, length), kinds)
     # Repeated rows of a document have the same ranges.
     out = settle(found.repartition(width, "grp").mapInArrow(lambda b: _ranges(b, length), "d long, t long, ranges binary").groupBy("d", "t").agg(F.first("ranges").alias("ranges")))
