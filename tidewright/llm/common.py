@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -67,6 +68,19 @@ def settle(df: DataFrame, path: str | None = None) -> DataFrame:
     return out
 
 
+def lean(work: Callable) -> Callable:
+    """work on Arrow batches that gives memory back to the system at the end of a task: workers live on and serve other stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 def discard(df: DataFrame) -> None:
     """Removes the files of a settled table that nothing reads any more."""
     spark = df.sparkSession

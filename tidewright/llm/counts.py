@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import lean
 from .encoding import CALL_CHARS, count_tokens, load
 
 CHUNK = 32_768
@@ -164,4 +165,4 @@ def token_counts(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(lean(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -68,7 +68,7 @@ class WordEncoder:
     special token's string.
     """
 
-    def __init__(self, path: str, lower: bool = False, words: int = 400_000, ids: int = 3_000_000):
+    def __init__(self, path: str, lower: bool = False, words: int = 250_000, ids: int = 2_000_000):
         self.made, self.lower, self.words, self.ids = load(path), lower, words, ids
         self.bare = self._bare(path)
         self.special = [x.content.encode() for x in self.made.get_added_tokens_decoder().values()]

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import flat, settle
+from .common import flat, lean, settle
 
 #: Labelled texts that the likelihoods are fitted on, for each language; languages at most, so that the model's size is bounded; texts that make one.
 SAMPLE, LANGUAGES, LEAST = 400, 256, 5
@@ -85,7 +85,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int
         chosen = thin.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("place"))).where(F.col("n") <= sample).select("lang", "place")
         # At most sample x LANGUAGES rows of two columns.
         own = rows.withColumn("place", place).join(F.broadcast(chosen), ["lang", "place"], "left_semi").dropDuplicates(["lang", "place"])
-        for r in own.select("lang", "text").mapInArrow(lambda b: _histograms(b, languages), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in own.select("lang", "text").mapInArrow(lean(lambda b: _histograms(b, languages)), "lang int, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[r.lang, r.gram] = r.n
     return Model(languages, counts)
 
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], text: Column, decla
     if not k:
         return rows.select(*keep, "declared", F.lit(0).cast("long").alias("n"), F.lit(None).cast("string").alias("language"), F.lit(None).cast("double").alias("posterior"), F.lit(False).alias("kept"))
     held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.drop("text").schema)
-    rows = rows.mapInArrow(lambda b: _scores(b, model), f"{held}, n long, like array<double>")
+    rows = rows.mapInArrow(lean(lambda b: _scores(b, model)), f"{held}, n long, like array<double>")
     none = F.array_repeat(F.lit(0.0), k)
     rows = settle(rows.withColumn("by_text", F.when(F.col("n") > 0, _softmax(F.transform("like", lambda x: x * TEMPER))).otherwise(none)))
     overall = rows.agg(*[F.sum(F.col("by_text")[i]).alias(f"c{i}") for i in range(k)]).first()

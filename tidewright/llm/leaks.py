@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, each_text, flat, settle
+from .common import discard, each_text, flat, lean, settle
 
 #: Blocks for which texts are read once, items searched together, and latent dimensions with their surplus.
 CHUNK, BLOCK, RANK, SURPLUS = 32, 256, 256, 32
@@ -208,8 +208,8 @@ def latent_basis(terms: DataFrame, items: Items, rank: int = RANK, surplus: int
     size, width = items.size, min(rank + surplus, items.size)
     omega = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, width)))[0].astype(np.float32)
     weight, local, span, parts = items.weight, items.local, items.window, 16
-    sums = terms.select("place", "term").mapInArrow(lambda b: _sketch(b, weight, local, span, omega, parts), "part int, n long, rows binary")
-    sums = sums.repartition(parts, "part").mapInArrow(_added, "part int, n long, rows binary").collect()
+    sums = terms.select("place", "term").mapInArrow(lean(lambda b: _sketch(b, weight, local, span, omega, parts)), "part int, n long, rows binary")
+    sums = sums.repartition(parts, "part").mapInArrow(lean(_added), "part int, n long, rows binary").collect()
     total = np.zeros((size, width))
     at = np.cumsum([0, *(len(x) for x in np.array_split(np.arange(size), parts))])
     n = 0
@@ -355,9 +355,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
     out = None
     for chunk in _chunks(benchmark, item_id, item_text):
         vocabulary, size = chunk.vocabulary, len(chunk.vocabulary)
-        terms = settle(rows.mapInArrow(lambda b, v=vocabulary: _terms(b, v), "d long, t long, place binary, term binary"))
+        terms = settle(rows.mapInArrow(lean(lambda b, v=vocabulary: _terms(b, v)), "d long, t long, place binary, term binary"))
         df = np.zeros(size, np.int64)
-        counted = terms.select("term").mapInArrow(lambda b, n=size: _frequencies(b, n), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        counted = terms.select("term").mapInArrow(lean(lambda b, n=size: _frequencies(b, n)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
         for r in counted.collect():  # one row for each term of the chunk
             df[r.term] = r.n
         n = terms.count()
@@ -365,7 +365,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
             break
         for items in chunk.blocks(df, n):
             basis = latent_basis(terms, items)
-            found = terms.where(F.length("term") > 0).mapInArrow(lambda b, i=items, v=basis: _verified(b, i, v), "d long, t long, item_id long, cosine double, share double, answer double")
+            found = terms.where(F.length("term") > 0).mapInArrow(lean(lambda b, i=items, v=basis: _verified(b, i, v)), "d long, t long, item_id long, cosine double, share double, answer double")
             found = settle(found)
             out = found if out is None else out.union(found)
         discard(terms)

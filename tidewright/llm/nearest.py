@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, shuffle_width
+from .common import lean, settle, shuffle_width
 
 #: Projected dimensions, and the probability with which a vector that was left out would not have been nearer.
 DIMENSIONS, CERTAINTY = 24, 0.97
@@ -261,7 +261,7 @@ def _nearest_of(classes: DataFrame, asked: DataFrame, size: int, k: int, width:
                 yield pa.RecordBatch.from_arrays([pa.array(at), batch.column(0), batch.column(1)], ["cell", "vector", "ids"])
 
     of_cell = "cell long, vector array<double>, ids array<long>"
-    placed = settle(classes.select("vector", "ids").mapInArrow(dealt, of_cell))
+    placed = settle(classes.select("vector", "ids").mapInArrow(lean(dealt), of_cell))
     # One row for each cell, of which there are SAMPLE / FITTED at most.
     counts = np.zeros(1 << depth, np.int64)
     for r in placed.groupBy("cell").count().collect():
@@ -277,10 +277,10 @@ def _nearest_of(classes: DataFrame, asked: DataFrame, size: int, k: int, width:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(to_part(batch.column(0).to_numpy(), batch.column(1).to_numpy() >> 16)), batch.column(2), batch.column(3)], ["part", "vector", "ids"])
 
-    held = placed.select("cell", F.xxhash64("vector").alias("by"), "vector", "ids").mapInArrow(spread_out, "part long, vector array<double>, ids array<long>")
+    held = placed.select("cell", F.xxhash64("vector").alias("by"), "vector", "ids").mapInArrow(lean(spread_out), "part long, vector array<double>, ids array<long>")
     none = [F.lit(None).cast("long").alias("query_id"), F.lit(None).cast("long").alias("q"), F.lit(None).cast("double").alias("bound")]
     held = held.select("part", F.lit(0).alias("kind"), "vector", "ids", *none)
-    queries = settle(asked.select("vector", F.array("id").alias("ids")).mapInArrow(dealt, of_cell).select("cell", "vector", F.col("ids")[0].alias("query_id"), F.xxhash64(F.col("ids")[0], "vector").alias("q")))
+    queries = settle(asked.select("vector", F.array("id").alias("ids")).mapInArrow(lean(dealt), of_cell).select("cell", "vector", F.col("ids")[0].alias("query_id"), F.xxhash64(F.col("ids")[0], "vector").alias("q")))
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """cell, vector, query_id, q, bound -> a row for each part to search: at home one (bound null), then all others that are reached."""
@@ -301,9 +301,9 @@ def _nearest_of(classes: DataFrame, asked: DataFrame, size: int, k: int, width:
                 yield pa.RecordBatch.from_arrays([pa.array(part[lo : lo + 4096]), own.column(1), own.column(2), own.column(3), pa.array(most[go[lo : lo + 4096]])], ["part", "vector", "query_id", "q", "bound"])
 
     def search(coming: DataFrame) -> DataFrame:
-        rows = coming.select("cell", "vector", "query_id", "q", "bound").mapInArrow(sent, "part long, vector array<double>, query_id long, q long, bound double")
+        rows = coming.select("cell", "vector", "query_id", "q", "bound").mapInArrow(lean(sent), "part long, vector array<double>, query_id long, q long, bound double")
         rows = held.union(rows.select("part", F.lit(1).alias("kind"), "vector", F.lit(None).cast("array<long>").alias("ids"), "query_id", "q", "bound"))
-        return rows.repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(_searched(spread, limit, k), _FOUND)
+        return rows.repartition(width, "part").sortWithinPartitions("part", "kind").mapInArrow(lean(_searched(spread, limit, k)), _FOUND)
 
     at_home = settle(search(queries.withColumn("bound", F.lit(None).cast("double"))))
     # The distance of the k-th found at home; a query with fewer must go everywhere.

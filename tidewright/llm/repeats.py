@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import GRAM, all_anchors
-from .common import each_text, flat, settle, shuffle_width
+from .common import each_text, flat, lean, settle, shuffle_width
 
 LENGTH = 50
 #: Documents without an id come after all others.
@@ -416,15 +416,15 @@ def repeated_ranges(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     width = shuffle_width(docs.sparkSession)
     rows = _keyed(docs, doc_id, text).where(F.length("text") >= length)
     kinds = "key long, grp long, blob binary"
-    asked = rows.select("d", "t", "text").mapInArrow(lambda b: _ask(b, width, length), kinds)
-    answered = asked.repartition(width, "key").mapInArrow(_answer, kinds)
-    shared = settle(answered.repartition(width, "grp").mapInArrow(_by_document, "d long, t long, windows binary").groupBy("d", "t").agg(F.first("windows").alias("windows")))
+    asked = rows.select("d", "t", "text").mapInArrow(lean(lambda b: _ask(b, width, length)), kinds)
+    answered = asked.repartition(width, "key").mapInArrow(lean(_answer), kinds)
+    shared = settle(answered.repartition(width, "grp").mapInArrow(lean(_by_document), "d long, t long, windows binary").groupBy("d", "t").agg(F.first("windows").alias("windows")))
     both = rows.select("d", "t", "text").join(shared, ["d", "t"])
     # Several slices to a task, so that tasks get about as many.
-    around = both.select("d", "t", "text", "windows").mapInArrow(lambda b: _contexts(b, _SLICES * width, length), kinds)
-    found = around.repartition(width, "key").mapInArrow(lambda b: _earlier(b, length), kinds)
+    around = both.select("d", "t", "text", "windows").mapInArrow(lean(lambda b: _contexts(b, _SLICES * width, length)), kinds)
+    found = around.repartition(width, "key").mapInArrow(lean(lambda b: _earlier(b, length)), kinds)
     # Repeated rows of a document have the same ranges.
-    out = settle(found.repartition(width, "grp").mapInArrow(lambda b: _ranges(b, length), "d long, t long, ranges binary").groupBy("d", "t").agg(F.first("ranges").alias("ranges")))
+    out = settle(found.repartition(width, "grp").mapInArrow(lean(lambda b: _ranges(b, length)), "d long, t long, ranges binary").groupBy("d", "t").agg(F.first("ranges").alias("ranges")))
     return out
 
 
@@ -459,7 +459,7 @@ def _with_ranges(docs: DataFrame, doc_id: str, text: str, length: int) -> DataFr
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """doc_id, kept: the remaining bytes of each document (binary, as a cut may fall inside a character)."""
-    return _with_ranges(docs, doc_id, text, length).mapInArrow(_kept, "doc_id long, kept binary")
+    return _with_ranges(docs, doc_id, text, length).mapInArrow(lean(_kept), "doc_id long, kept binary")
 
 
 def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -470,7 +470,7 @@ def repeat_digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     doc_id are not earlier than each other; a null doc_id is later than any other and no two nulls
     are earlier than each other. Other columns are not read; an empty table gives an empty result.
     """
-    return _with_ranges(docs, doc_id, text, length).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_ranges(docs, doc_id, text, length).mapInArrow(lean(_cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 #: The same by plain windows of LENGTH bytes in hexadecimal; for tables of some megabytes.

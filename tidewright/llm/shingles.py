@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary, each_text, settle, shuffle_width
+from .common import binary, each_text, lean, settle, shuffle_width
 from .components import connected_components
 from .simhash import SEED, fingerprint_hashes, masks, shingle_hashes
 
@@ -161,15 +161,15 @@ def without_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str =
     own = F.col(text).cast("string")
     d, t = F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("t")
     rows = docs.select(d, t, own.alias("text"))
-    prints = rows.mapInArrow(_banded, "d long, t long, k long, bands array<long>")
+    prints = rows.mapInArrow(lean(_banded), "d long, t long, k long, bands array<long>")
     classes = settle(prints.groupBy("k").agg(F.min(F.struct("d", "t", "bands")).alias("r")).select("k", "r.*"))
     keys = classes.select("k", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b"), F.bit_xor(F.xxhash64("k")).alias("x")).where("n > 1")
     members = settle(keys.join(shared.groupBy("n", "a", "b", "x").agg(F.min("key").alias("key")), "key", "left_semi"))
     some = classes.join(members.select("k").distinct(), "k", "left_semi").select("k", "d", "t")
-    sets = settle(rows.join(some, ["d", "t"]).dropDuplicates(["k"]).select("k", "text").mapInArrow(_sets, "k long, shingles binary"))
+    sets = settle(rows.join(some, ["d", "t"]).dropDuplicates(["k"]).select("k", "text").mapInArrow(lean(_sets), "k long, shingles binary"))
     dealt = members.join(sets, "k").select("key", "k", "shingles").repartition(shuffle_width(docs.sparkSession), "key").sortWithinPartitions("key")
-    ends = settle(connected_components(dealt.mapInArrow(_linked, "a long, b long"), "a", "b"))
+    ends = settle(connected_components(dealt.mapInArrow(lean(_linked), "a long, b long"), "a", "b"))
     named = classes.join(ends, F.col("k") == F.col("node"), "left").select(F.coalesce("component", "k").alias("c"), F.struct("d", "t").alias("r"))
     firsts = named.groupBy("c").agg(F.min("r").alias("r")).select("r.d", "r.t")
     keyed = docs.select(F.struct("*").alias("_row"), d, t)

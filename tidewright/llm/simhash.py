@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import each_text, settle
+from .common import each_text, lean, settle
 from .components import connected_components
 
 SHINGLE = 3
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """doc_id, t, fp: a hash of each text and the SimHash of its three-word shingles, as signed longs."""
     own = F.col(text).cast("string")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(own, F.lit(""))).alias("t"), own.alias("text"))
-    return rows.mapInArrow(_fingerprint_batches, "doc_id long, t long, fp long")
+    return rows.mapInArrow(lean(_fingerprint_batches), "doc_id long, t long, fp long")
 
 
 def _spread_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,8 +178,8 @@ def near_links(classes: DataFrame) -> DataFrame:
     masked bits; a task gets whole keys and gives back a spanning forest, never all pairs.
     """
     width = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = classes.select("fp", "rep").mapInArrow(_spread_batches, "tab byte, key long, fp long, rep long")
-    return spread.repartition(width, "tab", "key").mapInArrow(_link_batches, "a long, b long")
+    spread = classes.select("fp", "rep").mapInArrow(lean(_spread_batches), "tab byte, key long, fp long, rep long")
+    return spread.repartition(width, "tab", "key").mapInArrow(lean(_link_batches), "a long, b long")
 
 
 def _grouped(docs: DataFrame, doc_id: str, text: str) -> DataFrame:

@@ -23,15 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import as_bytes, each_text, flat, settling, shuffle_width, work_dir
+from .common import as_bytes, each_text, flat, lean, settling, shuffle_width, work_dir
 from .encoding import WordEncoder
 
 #: Ids under the rolling hash, and chunk lengths: 1 in MEAN places is a cut.
 WINDOW, LEAST, MEAN, MOST = 16, 32, 256, 2048
 #: Text encoded at a time.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 3_000_000
 #: Digests that a task remembers to have sent.
-SENT = 200_000
+SENT = 100_000
 DIGEST = 16
 
 
@@ -192,7 +192,7 @@ def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower:
     """
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(_chunker(path, lower, end_id, wide), "kind string, doc_id long, n_tokens long, digest binary, body binary, uid long")
+    made = rows.mapInArrow(lean(_chunker(path, lower, end_id, wide)), "kind string, doc_id long, n_tokens long, digest binary, body binary, uid long")
     # Chunks have no uid and go by their digest, of which one row stays; documents are dealt evenly and all stay.
     once = made.repartition(width, "kind", "digest", "uid").dropDuplicates(["kind", "digest", "uid"]).drop("uid")
     with settling(spark):
@@ -309,11 +309,11 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     wide = bool(said) and said[0].width == 4
     width = shuffle_width(spark)
     packs = spark.read.schema("digest binary, body binary, kind string").parquet(f"{store}/packs").where("kind = 'chunk'")
-    facts = packs.select("digest", "body").mapInArrow(_crc_facts(wide), "digest binary, crc long, n long")
+    facts = packs.select("digest", "body").mapInArrow(lean(_crc_facts(wide)), "digest binary, crc long, n long")
     recipes = _recipes(spark, store)
-    refs = recipes.select("row", "recipe", "root").mapInArrow(_refs, "row long, seq int, digest binary")
+    refs = recipes.select("row", "recipe", "root").mapInArrow(lean(_refs), "row long, seq int, digest binary")
     joined = refs.join(facts, "digest").select("row", "seq", "crc", "n").repartition(width, "row").sortWithinPartitions("row", "seq")
-    sums = joined.mapInArrow(_join_crcs, "row long, read long, ids_crc32 long")
+    sums = joined.mapInArrow(lean(_join_crcs), "row long, read long, ids_crc32 long")
     manifest = spark.read.parquet(f"{store}/manifest").select("part", F.col("start").alias("base"))
     own = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     placed = recipes.select("part", "row", "doc_id", "n_tokens").withColumn("own", F.coalesce(F.sum("n_tokens").over(own), F.lit(0)))
