@@ -145,3 +145,62 @@ def test_windows_over_a_stream(spark, sf_dir, tmp_path):
     out = ledger_stream.replay(spark, str(tmp_path / "e"), ddl, lambda s: ledger_stream.windowed_values(s, "60 days"), "live_windows", str(tmp_path / "ck2"))
     want = events.groupBy("event_type", F.window("ts", "1 hour")).count().count()
     assert out.select("event_type", "start").distinct().count() == want
+
+
+def test_chain_steps_keep_their_rules(spark):
+    from tidewright.operators import ledger, scope
+
+    cols = "chain_id string, idx int, claim string, lr double, source string, refs array<string>"
+    steps = spark.createDataFrame([("a", 1, "x", 1.5, "analyst", ["r"])], cols)
+    chains = spark.createDataFrame([("a", "open"), ("b", "open"), ("c", "closed")], "chain_id string, status string")
+    more = "chain_id string, pos int, claim string, lr double, source string, refs array<string>"
+
+    def append(*rows):
+        return ledger.chain_steps(steps, spark.createDataFrame(rows, more), chains, scope.SOURCES, scope.MODEL_RATIO)
+
+    got = append(("a", 9, "z", 0.0, "library", None), ("a", 4, "y", 2.0, "llm_parametric", ["s"]), ("b", 1, "w", 3.0, "analyst", None))
+    assert sorted((r.chain_id, r.idx, r.claim, r.lr, r.refs) for r in got.collect()) == [("a", 1, "x", 1.5, ["r"]), ("a", 2, "y", 2.0, ["s"]), ("a", 3, "z", 0.0, []), ("b", 1, "w", 3.0, [])]
+    wrong = [("a", 1, "x", -0.1, "analyst", None), ("a", 1, "x", None, "analyst", None), ("a", 1, "x", 2.1, "llm_parametric", None), ("a", 1, "x", 1.0, "hearsay", None), ("c", 1, "x", 1.0, "analyst", None), ("d", 1, "x", 1.0, "analyst", None)]
+    for row in wrong:
+        with pytest.raises(Exception, match="chain|ratio|source|alone"):
+            append(row).collect()
+    for prior in (0.0, 1.0):
+        with pytest.raises(ValueError, match="seed_prior"):
+            ledger.chain_close(steps, prior)
+
+
+def test_names_baselines_and_deviations(spark):
+    from tidewright.operators import ledger
+
+    traits = spark.createDataFrame([("T1", 1, 2.0), ("T1", 2, 3.0), ("T2", 1, 0.5)], "hid string, seq int, likelihood_ratio double")
+    names = lambda *rows: spark.createDataFrame(rows, "old string, new string")
+    assert sorted(r.hid for r in ledger.rename(traits, names(("T1", "T9"), ("T7", "T8"))).collect()) == ["T2", "T9", "T9"]
+    assert sorted(r.hid for r in ledger.rename(traits, names(("T1", "T1"))).collect()) == ["T1", "T1", "T2"]
+    with pytest.raises(Exception, match="taken"):
+        ledger.rename(traits, names(("T1", "T2"))).collect()
+    assert [r.hid for r in ledger.remove(traits, spark.createDataFrame([("T1",)], "hid string")).collect()] == ["T2"]
+    base = ledger.numbered(spark.createDataFrame([("s", 5, "speech", "slow"), ("s", 2, "gaze", "low"), ("u", 1, "gaze", "high")], "subject string, seq int, category string, value string"), "B")
+    assert sorted((r.subject, r.id, r.category) for r in base.collect()) == [("s", "B1", "gaze"), ("s", "B2", "speech"), ("u", "B1", "gaze")]
+    cols = "subject string, seq int, description string, baseline string, context string, significance string"
+    got = ledger.deviations(spark.createDataFrame([("s", 1, "fast", "B2", "call", None), ("s", 2, "calm", "B7", "call", "major")], cols), base)
+    assert sorted((r.id, r.significance, r.baseline_category, r.baseline_value) for r in got.collect()) == [("D1", "moderate", "speech", "slow"), ("D2", "major", None, None)]
+    with pytest.raises(Exception, match="no such significance"):
+        ledger.deviations(spark.createDataFrame([("s", 1, "fast", "B2", "call", "huge")], cols), base).collect()
+
+
+def test_steelman_glossary_and_observations(spark):
+    from tidewright.operators import scope
+
+    cols = "audit int, persona string, domain string, mechanism string"
+    assert [tuple(r) for r in scope.steelman(spark.createDataFrame([(1, "journalist", "press", "leaks")], cols)).collect()] == [(1, "press", "leaks", 0.15, "M4:steelman:journalist")]
+    with pytest.raises(Exception, match="no such persona"):
+        scope.steelman(spark.createDataFrame([(1, "friend", "press", "leaks")], cols)).collect()
+    library = spark.createDataFrame([("m", "Capital flows", "Money from abroad"), ("m", "storage", None), ("n", "x", "y")], "archetype_id string, domain string, mechanism string")
+    terms = lambda *t: spark.createDataFrame([(x,) for x in t], "text string")
+    got = {r.archetype_id: tuple(r)[1:] for r in scope.glossary_alignment(library, terms("capital", "ABROAD", "yield", "", None)).collect()}
+    assert got["m"] == (3, 2, pytest.approx(2 / 3), "good match") and got["n"] == (3, 0, 0.0, "low alignment")
+    assert {r.advisory for r in scope.glossary_alignment(library, terms("")).collect()} == {"no grounded terms"}
+    known = spark.createDataFrame([("O1", "seen", "timing")], "id string, text string, category string")
+    new = spark.createDataFrame([("O1", 1, "again", "x"), ("O2", 3, "late", None), ("O2", 2, "first", None)], "id string, seq int, text string, category string")
+    once = scope.add_observations(known, new)
+    assert sorted(map(tuple, once.collect())) == [("O1", "seen", "timing"), ("O2", "first", "generic")] == sorted(map(tuple, scope.add_observations(once, new).collect()))

@@ -192,13 +192,28 @@ def test_steady_states(spark):
     assert free["x"].tolist() == pytest.approx([1 / math.sqrt(3), 2 / math.sqrt(9)], abs=1e-6)
 
 
-def test_laws():
-    rng = np.random.default_rng(1)
-    for law in simulate.DEFAULTS:
-        spec = {"dist": law, "mean": 1, "std": 1, "sigma": 0.2, "low": 0, "high": 1, "left": 0, "mode": 0.5, "right": 1, "a": 2, "b": 2, "scale": 1, "shape": 2, "lam": 3, "n": 5, "p": 0.5, "df": 3, "value": 7}
-        assert len(simulate.sample(spec, rng, 20)) == 20
-    with pytest.raises(ValueError, match="no such law"):
-        simulate.sample({"dist": "cauchy"}, rng)
+def test_twelve_laws_by_their_moments():
+    from math import exp, gamma, sqrt
+
+    rng, n = np.random.default_rng(1), 200_000
+    laws = {
+        "normal": ({"mean": 3.0, "std": 2.0}, 3.0, 2.0), "uniform": ({"low": -1.0, "high": 5.0}, 2.0, 6 / sqrt(12)),
+        "lognormal": ({"mu": 0.3, "sigma": 0.2}, exp(0.32), exp(0.32) * sqrt(exp(0.04) - 1)), "triangular": ({"left": 0.0, "mode": 1.0, "right": 5.0}, 2.0, sqrt(21 / 18)),
+        "beta": ({"a": 2.0, "b": 6.0}, 0.25, sqrt(12 / (64 * 9))), "exponential": ({"scale": 0.5}, 0.5, 0.5), "gamma": ({"shape": 3.0, "scale": 2.0}, 6.0, sqrt(12)),
+        "poisson": ({"lam": 4.0}, 4.0, 2.0), "weibull": ({"a": 2.0, "scale": 3.0}, 3 * gamma(1.5), 3 * sqrt(gamma(2) - gamma(1.5) ** 2)),
+        "binomial": ({"n": 20, "p": 0.3}, 6.0, sqrt(4.2)), "chisquare": ({"df": 5}, 5.0, sqrt(10)), "constant": ({"value": 7.0}, 7.0, 0.0),
+    }
+    assert laws.keys() == simulate.LAWS.keys()
+    for law, (args, mean, std) in laws.items():
+        x = simulate.sample({"dist": law, **args}, rng, n)
+        assert x.shape == (n,) and x.dtype == float
+        assert x.mean() == pytest.approx(mean, abs=0.02 * (abs(mean) + std)) and x.std() == pytest.approx(std, abs=0.03 * std + 1e-12), law
+    assert np.median(simulate.sample({"dist": "lognormal", "sigma": 0.1}, rng, n)) == pytest.approx(1.0, abs=0.005)
+    assert simulate.sample({"dist": "gamma", "shape": 3.0}, rng, n).mean() == pytest.approx(3.0, abs=0.05)
+    wrong = [{"dist": "cauchy"}, {"mean": 1.0}, {"dist": "normal", "std": 2.0}, {"dist": "normal", "mean": 1.0}, {"dist": "normal", "mean": 0.0, "std": 1.0, "scale": 1.0}, {"dist": "lognormal", "mean": 0.0}, {"dist": "uniform", "low": 0.0}]
+    for spec in wrong:
+        with pytest.raises(ValueError, match="no such law|needs|has no"):
+            simulate.sample(spec, rng)
 
 
 def test_monte_carlo(spark):

@@ -112,8 +112,62 @@ def overall_confidence(traits: DataFrame, *keys: str) -> DataFrame:
     return out.withColumn("label", F.when(F.col("confidence") > 0.7, "High").when(F.col("confidence") > 0.4, "Medium").otherwise("Low"))
 
 
+def rename(ledger: DataFrame, names: DataFrame, key: str = "hid") -> DataFrame:
+    """The ledger under new names (old, new); what has none keeps its own, and a name that is taken is an error."""
+    own = names.select(F.col("old").alias("_old"), F.col("new").alias("_new"))
+    taken = own.join(ledger.select(F.col(key).alias("_have")).distinct(), F.col("_new") == F.col("_have"), "left")
+    said = F.when(F.col("_have").isNotNull() & (F.col("_have") != F.col("_old")), F.raise_error(F.concat(F.lit("name is taken: "), "_new")).cast("string")).otherwise(F.col("_new"))
+    out = ledger.join(taken.select("_old", said.alias("_new")), F.col(key) == F.col("_old"), "left")
+    return out.withColumn(key, F.coalesce("_new", key)).select(ledger.columns)
+
+
+def remove(ledger: DataFrame, names: DataFrame, key: str = "hid") -> DataFrame:
+    """The ledger without the rows of names (one column of the key's name)."""
+    return ledger.join(names.select(key).distinct(), key, "left_anti")
+
+
+def numbered(entries: DataFrame, prefix: str, last: int = 0, key: str = "subject") -> DataFrame:
+    """entries (key, seq, ...) with id: prefix and a number that rises with seq within each key, from last + 1 on."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy("seq")) + last
+    return entries.withColumn("id", F.concat(F.lit(prefix), n.cast("string")))
+
+
+def deviations(entries: DataFrame, baselines: DataFrame, last: int = 0) -> DataFrame:
+    """entries (subject, seq, description, baseline, context, significance) with id, baseline_category and baseline_value.
+
+    significance is minor, moderate (also where it is null) or major; anything else is an error.
+    baseline names one of the subject's baselines (subject, id, category, value); it may be unknown.
+    """
+    grade = F.coalesce("significance", F.lit("moderate"))
+    grade = F.when(grade.isin("minor", "moderate", "major"), grade).otherwise(F.raise_error(F.concat(F.lit("no such significance: "), grade)).cast("string"))
+    known = baselines.select("subject", F.col("id").alias("baseline"), F.col("category").alias("baseline_category"), F.col("value").alias("baseline_value"))
+    return numbered(entries, "D", last).withColumn("significance", grade).join(known, ["subject", "baseline"], "left")
+
+
+def chain_steps(steps: DataFrame, new: DataFrame, chains: DataFrame, sources: tuple[str, ...], model_ratio: float) -> DataFrame:
+    """steps and the new ones behind them: chain_id, idx, claim, lr, source, refs.
+
+    new: chain_id, pos, claim, lr, source, refs, appended in the order of pos; idx goes on from the
+    chain's last. It is an error to append to a chain that is unknown or not open, to use a ratio
+    below 0 or an unknown source, and to let a language model alone claim more than model_ratio.
+    """
+    last = steps.groupBy("chain_id").agg(F.max("idx").alias("last"))
+    rows = new.join(chains.select("chain_id", F.col("status").alias("_status")), "chain_id", "left").join(last, "chain_id", "left")
+    wrong = (
+        F.when(F.col("_status").isNull(), "no such chain").when(F.col("_status") != "open", "the chain is not open")
+        .when(~F.coalesce(F.col("source").isin(*sources), F.lit(False)), "no such source").when(F.col("lr").isNull() | (F.col("lr") < 0), "a likelihood ratio must not be negative")
+        .when((F.col("source") == "llm_parametric") & (F.col("lr") > model_ratio), f"a model alone may claim {model_ratio:g} at most")
+    )
+    lr = F.when(wrong.isNotNull(), F.raise_error(F.concat_ws(": ", wrong, F.col("chain_id").cast("string"))).cast("double")).otherwise(F.col("lr").cast("double"))
+    idx = (F.coalesce("last", F.lit(0)) + F.row_number().over(Window.partitionBy("chain_id").orderBy("pos"))).cast("int")
+    cols = ["chain_id", "idx", "claim", "lr", "source", "refs"]
+    return steps.select(cols).unionByName(rows.select("chain_id", idx.alias("idx"), "claim", lr.alias("lr"), "source", F.coalesce("refs", F.array().cast("array<string>")).alias("refs")))
+
+
 def chain_close(steps: DataFrame, seed_prior: float = 0.5) -> DataFrame:
-    """chain_id, n_steps, final_posterior of chains with at least one step; steps: chain_id, idx, lr."""
+    """chain_id, n_steps, final_posterior of chains with at least one step; steps: chain_id, idx, lr. seed_prior: between 0 and 1."""
+    if not 0 < seed_prior < 1:
+        raise ValueError("seed_prior must lie between 0 and 1")
     own = steps.groupBy("chain_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("lr").cast("double").alias("lr")))).alias("s"))
     return own.select("chain_id", F.size("s").alias("n_steps"), F.aggregate("s", F.lit(float(seed_prior)), lambda p, x: odds_update(p, x["lr"])).alias("final_posterior"))
 

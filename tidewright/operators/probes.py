@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pandas as pd
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import student_sf
+from ..sources.work import work_dir
 from .stats import KEY, by_time
 
 
@@ -93,22 +93,24 @@ def main_effects(rows: DataFrame, factors: list[str]) -> DataFrame:
 def closure(edges: DataFrame, rounds: int = 32) -> DataFrame:
     """src, dst, hops of all that can be reached, with the fewest hops; paths double each round until none is new.
 
+    Each round is written to the shared folder, which cuts its lineage. An error if rounds do not do.
+
     The result may be as large as the square of the nodes of a component: meant for dependency
     graphs, not for social ones.
     """
     now = edges.select("src", "dst").where("src is not null and dst is not null").distinct().withColumn("hops", F.lit(1))
-    context = edges.sparkSession.sparkContext
-    if not context.getCheckpointDir():  # local use; on a cluster the session names a shared folder
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewright-"))
     seen: tuple = ()
     for _ in range(rounds):
         more = now.alias("a").join(now.alias("b"), F.col("a.dst") == F.col("b.src")).select("a.src", "b.dst", (F.col("a.hops") + F.col("b.hops")).alias("hops"))
-        now = now.union(more).groupBy("src", "dst").agg(F.min("hops").alias("hops")).checkpoint()
+        now = now.union(more).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
+        path = work_dir(edges.sparkSession)
+        now.write.parquet(path)
+        now = edges.sparkSession.read.parquet(path)
         mark = tuple(now.agg(F.count("*"), F.sum("hops")).first())
         if mark == seen:
-            break
+            return now
         seen = mark
-    return now
+    raise RuntimeError(f"no fixed point after {rounds} rounds: paths of more than 2^{rounds - 1} edges")
 
 
 def propagate(terms: DataFrame) -> DataFrame:

@@ -61,6 +61,40 @@ def trace_flows(audits: DataFrame) -> DataFrame:
     return side("inputs").union(side("outputs"))
 
 
+#: Who may speak against a scope, and the prior of what they name.
+PERSONAS = ("outsider", "journalist", "regulator")
+STEELMAN_PRIOR = 0.15
+
+
+def steelman(critiques: DataFrame) -> DataFrame:
+    """audit, domain, mechanism, prior, source: a candidate for each critique (audit, persona, domain, mechanism); an unknown persona is an error."""
+    persona = F.when(F.col("persona").isin(*PERSONAS), F.col("persona")).otherwise(F.raise_error(F.concat(F.lit("no such persona: "), F.coalesce("persona", F.lit("null")))).cast("string"))
+    return critiques.select("audit", "domain", "mechanism", F.lit(STEELMAN_PRIOR).alias("prior"), F.concat(F.lit("M4:steelman:"), persona).alias("source"))
+
+
+def glossary_alignment(library: DataFrame, terms: DataFrame) -> DataFrame:
+    """archetype_id, n_terms, n_matched, alignment, advisory: how many grounded terms (text) an archetype's accomplices name.
+
+    A term matches where it stands, in any case, in a domain or mechanism; one null or empty counts
+    as none. Under 0.30 the archetype may be too generic. Each archetype meets each term of one
+    glossary: both are small tables.
+    """
+    own = terms.select(F.lower("text").alias("term")).where("length(term) > 0").agg(F.collect_list("term").alias("terms"))
+    said = F.lower(F.concat_ws(" ", F.collect_list(F.concat_ws(" ", F.coalesce("domain", F.lit("")), F.coalesce("mechanism", F.lit(""))))))
+    out = library.groupBy("archetype_id").agg(said.alias("said")).join(F.broadcast(own))  # own is one row
+    out = out.withColumn("n_terms", F.size("terms")).withColumn("n_matched", F.size(F.filter("terms", lambda t: F.col("said").contains(t))))
+    share = F.when(F.col("n_terms") > 0, F.col("n_matched") / F.nullif(F.col("n_terms"), F.lit(0)))
+    advisory = F.when(share.isNull(), "no grounded terms").when(share >= 0.30, "good match").otherwise("low alignment")
+    return out.select("archetype_id", "n_terms", "n_matched", share.alias("alignment"), advisory.alias("advisory"))
+
+
+def add_observations(known: DataFrame, new: DataFrame) -> DataFrame:
+    """known and the new observations (id, seq, text, category) whose id is not among them, the first by seq of each id; a null category is generic."""
+    first = new.withColumn("_n", F.row_number().over(Window.partitionBy("id").orderBy("seq"))).where("_n = 1").drop("_n")
+    fresh = first.join(known.select("id"), "id", "left_anti").withColumn("category", F.coalesce("category", F.lit("generic")))
+    return known.unionByName(fresh.select(known.columns))
+
+
 def residual_match(residuals: DataFrame, indices: DataFrame, r_at_least: float = 0.3, p_below: float = 0.05) -> DataFrame:
     """index, n, r, p, flagged, prior: residuals (t, value) against each index (name, t, value), joined on t.
 

@@ -19,20 +19,40 @@ from pyspark.sql import functions as F
 
 from .stats import kurtosis, skewness
 
-DEFAULTS = {"normal": ("mean", "std"), "uniform": ("low", "high"), "lognormal": ("mean", "sigma"), "triangular": ("left", "mode", "right"), "beta": ("a", "b"), "exponential": ("scale",), "gamma": ("shape", "scale"), "poisson": ("lam",), "weibull": ("a",), "binomial": ("n", "p"), "chisquare": ("df",), "constant": ("value",)}
+#: For each law the names of its parameters, those of the generator's, and what is optional.
+LAWS = {
+    "normal": ({"mean": "loc", "std": "scale"}, {}),
+    "uniform": ({"low": "low", "high": "high"}, {}),
+    "lognormal": ({"mu": "mean", "sigma": "sigma"}, {"mu": 0.0, "sigma": 1.0}),
+    "triangular": ({"left": "left", "mode": "mode", "right": "right"}, {}),
+    "beta": ({"a": "a", "b": "b"}, {}),
+    "exponential": ({"scale": "scale"}, {}),
+    "gamma": ({"shape": "shape", "scale": "scale"}, {"scale": 1.0}),
+    "poisson": ({"lam": "lam"}, {}),
+    "weibull": ({"a": "a", "scale": "scale"}, {"scale": 1.0}),
+    "binomial": ({"n": "n", "p": "p"}, {}),
+    "chisquare": ({"df": "df"}, {}),
+    "constant": ({"value": "value"}, {}),
+}
 
 
 def sample(spec: dict, rng: np.random.Generator, size: int = 1) -> np.ndarray:
-    """Values of one of the twelve laws; an unknown one is an error."""
-    law = spec.get("dist", "constant")
-    if law not in DEFAULTS:
+    """Values of one of the twelve laws; an unknown law, and a parameter too many or too few, is an error."""
+    law = spec.get("dist")
+    if law not in LAWS:
         raise ValueError(f"no such law: {law}")
-    args = [spec[k] for k in DEFAULTS[law] if k in spec]
+    names, given = LAWS[law][0], {k: v for k, v in spec.items() if k != "dist"}
+    if given.keys() - names.keys():
+        raise ValueError(f"{law} has no {', '.join(sorted(given.keys() - names.keys()))}")
+    given = LAWS[law][1] | given
+    if names.keys() - given.keys():
+        raise ValueError(f"{law} needs {', '.join(sorted(names.keys() - given.keys()))}")
+    own = {names[k]: v for k, v in given.items()}
     if law == "constant":
-        return np.full(size, float(args[0] if args else 0.0))
+        return np.full(size, float(own["value"]))
     if law == "weibull":
-        return spec.get("scale", 1.0) * rng.weibull(spec.get("a", 1.0), size)
-    return np.asarray(getattr(rng, law)(*args, size=size), float)
+        return own["scale"] * rng.weibull(own["a"], size)
+    return np.asarray(getattr(rng, law)(**own, size=size), float)
 
 
 def excitation(grid: DataFrame, kind: str, amplitude: float = 1.0, freq: float = 1.0, t_on: float = 0.0) -> DataFrame:
