@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import forecast, simulate, spectral, stats, sysid
-from ..sources.tables import V_EVENT, V_MONTH, table, v_event, v_hour, v_month
+from ..sources.tables import V_EVENT, V_HOUR, V_MONTH, table, v_event, v_hour, v_month
 from .ledger_queries import IO, _io
 from .review_queries import rounded
 
@@ -82,12 +82,31 @@ def compare_spectra(spark, sf_dir):
     return rounded(spectral.compare_spectra(v_month(spark, sf_dir)), 6, "rms", "centroid", "flatness", "peak_mag")
 
 
-@query("harmonics_thd")
+def _dft(view: str, coefficients: str) -> str:
+    """Magnitudes of zero-padded, windowed series by plain sums; coefficients: rows of a window's name and its cosine coefficients."""
+    taper = "list_sum(list_transform(range(1, len(c) + 1), lambda k: CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END * c[k] * cos(2 * pi() * (k - 1) * t / (n - 1))))"
+    return f"""wn(name, c) AS ({coefficients}), ln AS (SELECT series_id, t, value, count(*) OVER (PARTITION BY series_id) AS n FROM {view}),
+wx AS (SELECT name, series_id, t, n, CAST(power(2, ceil(log2(n))) AS BIGINT) AS nfft, {taper} AS w, value FROM ln, wn),
+dx AS (SELECT name, series_id, max(n) AS n, max(nfft) AS nfft, bin, avg(w) AS g, sqrt(power(sum(value * w * cos(2 * pi() * ((bin * t) % nfft) / nfft)), 2) + power(sum(value * w * sin(2 * pi() * ((bin * t) % nfft) / nfft)), 2)) AS a
+  FROM (SELECT *, unnest(range(nfft // 2 + 1)) AS bin FROM wx) GROUP BY ALL),
+sx AS (SELECT name, series_id, n, nfft, bin, bin / nfft AS freq, a * CASE WHEN bin = 0 OR bin = nfft // 2 THEN 1 ELSE 2 END / (n * g) AS mag FROM dx)"""
+
+
+_WINDOWS = " UNION ALL ".join(f"SELECT '{k}', [{', '.join(f'{x}::DOUBLE' for x in v)}]" for k, v in spectral.WINDOWS.items())
+
+
+@query("harmonics_thd", f"""WITH {V_HOUR}, {_dft("v_hour", "SELECT 'hann', [0.5::DOUBLE, 0.5]")},
+m AS (SELECT *, quantile_cont(mag, 0.5) OVER (PARTITION BY series_id ORDER BY bin ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING) AS around, lag(mag) OVER w AS a, lead(mag) OVER w AS b FROM sx WINDOW w AS (PARTITION BY series_id ORDER BY bin)),
+f AS (SELECT series_id, max(n) AS n, max(nfft) AS nfft, arg_max(freq, mag) AS f0, max(mag) AS a0 FROM m WHERE mag > a AND mag > b AND freq > 0 GROUP BY 1),
+h AS (SELECT *, unnest(range(2, 11)) AS k FROM f), g AS (SELECT *, least(CAST(ceil(k * f0 * nfft - 0.5) AS BIGINT), nfft // 2) AS bin FROM h WHERE k * f0 <= 0.5),
+o AS (SELECT g.series_id, a0, m.mag, m.mag > 2 * around AND abs(m.freq - k * f0) < greatest(2.0 / g.n, 0.02 * f0) AS found FROM g JOIN m ON g.series_id = m.series_id AND g.bin = m.bin)
+SELECT series_id, count(*) FILTER (found) AS n_harmonics, round(100 * sqrt(sum(mag * mag) FILTER (found)) / max(a0), 6) AS thd FROM o GROUP BY 1""")
 def harmonics_thd(spark, sf_dir):
     return rounded(spectral.thd(spectral.harmonics(spectral.spectrum(v_hour(spark, sf_dir)))))
 
 
-@query("window_compare")
+@query("window_compare", f"""WITH {V_EVENT}, {_dft("v_event", _WINDOWS)}
+SELECT series_id, name AS window, round(20 * log10(max(mag) / quantile_cont(mag, 0.5)), 6) AS dynamic_range_db FROM sx WHERE bin > 0 GROUP BY 1, 2""")
 def window_compare(spark, sf_dir):
     return rounded(spectral.window_compare(v_event(spark, sf_dir)))
 
@@ -115,7 +134,11 @@ def welch_frf(spark, sf_dir):
     return rounded(spectral.transfer_function(_io(spark, sf_dir)))
 
 
-@query("stft")
+@query("stft", f"""WITH {V_EVENT}, z AS (SELECT series_id, count(*) AS n, least(count(*) // 4, greatest(128, CAST(power(2, ceil(log2(greatest(count(*) // 16, 1)))) AS BIGINT))) AS own FROM v_event GROUP BY 1 HAVING count(*) >= 128),
+y AS (SELECT *, own - own * 3 // 4 AS step FROM z), i AS (SELECT *, unnest(range((n - own) // step + 1)) AS frame FROM y),
+x AS (SELECT i.series_id, frame, step, own, v.t - frame * step AS k, value * (0.5 - 0.5 * cos(2 * pi() * (v.t - frame * step) / own)) AS x FROM i JOIN v_event v ON v.series_id = i.series_id AND v.t BETWEEN frame * step AND frame * step + own - 1),
+p AS (SELECT series_id, frame, max(step) AS step, max(own) AS own, bin, (power(sum(x * cos(2 * pi() * bin * k / own)), 2) + power(sum(x * sin(2 * pi() * bin * k / own)), 2)) / power(max(own) / 2.0, 2) AS p FROM (SELECT *, unnest(range(own // 2 + 1)) AS bin FROM x) GROUP BY series_id, frame, bin)
+SELECT series_id, frame, CAST(frame * max(step) + max(own) / 2.0 AS DOUBLE) AS time, round(sum(p), 6) AS power, round(sum(p * bin / own) / sum(p), 6) AS centroid FROM p GROUP BY series_id, frame""")
 def stft(spark, sf_dir):
     return rounded(spectral.frames(v_event(spark, sf_dir)))
 
@@ -151,7 +174,7 @@ def narmax_frols(spark, sf_dir):
 
 @query("arx_bootstrap")
 def arx_bootstrap(spark, sf_dir):
-    return rounded(sysid.bootstrap_arx(_io(spark, sf_dir).where("t < 400"), 1, 1, draws=40))
+    return rounded(sysid.bootstrap_arx(_io(spark, sf_dir), 1, 1))
 
 
 @query("arx_cv")
@@ -203,7 +226,7 @@ def forecast_report(spark, sf_dir):
 @query("gbt_forecast")
 def gbt_forecast(spark, sf_dir):
     m = v_month(spark, sf_dir)
-    return rounded(forecast.boosted_trees(m, m.groupBy("series_id").agg((F.max("t") - 11).alias("t0")), 12, rounds=5), 4)
+    return rounded(forecast.boosted_trees(m, m.groupBy("series_id").agg((F.max("t") - 11).alias("t0")), 12), 4)
 
 
 # --- simulation -------------------------------------------------------------------------------
@@ -220,7 +243,8 @@ def sd_linear(spark, sf_dir):
     return rounded(simulate.euler_first_order(_nations(spark, sf_dir), 50))
 
 
-@query("sd_rk4")
+@query("sd_rk4", """WITH s AS (SELECT n_nationkey AS k, -0.5::DOUBLE - n_nationkey * 0.1::DOUBLE AS a FROM nation), r AS (SELECT *, 1 + a * 0.1 + power(a * 0.1, 2) / 2 + power(a * 0.1, 3) / 6 + power(a * 0.1, 4) / 24 AS r, unnest(range(51)) AS step FROM s)
+SELECT CAST(k AS VARCHAR) AS scenario, step, round(step * 0.1::DOUBLE, 6) AS t, CAST(0 AS BIGINT) AS state, round((power(r, step) - 1) / a, 6) AS x FROM r""")
 def sd_rk4(spark, sf_dir):
     m = F.to_json(F.struct(F.array(F.array("a")).alias("A"), F.array(F.array("b")).alias("B"), F.array("x0").alias("x0")))
     return rounded(simulate.run_scenarios(_nations(spark, sf_dir).select("scenario", m.alias("model")), 5.0, 0.1))
@@ -239,7 +263,7 @@ _LAWS = {"A[0][0]": {"dist": "normal", "mean": -1.0, "std": 0.1}, "B[0][0]": {"d
 
 
 def _traj(spark: SparkSession) -> DataFrame:
-    return simulate.monte_carlo(spark, {"A": [[-1.0]], "B": [[1.0]]}, _LAWS, 300, 5.0, 0.1, seed=7)
+    return simulate.monte_carlo(spark, {"A": [[-1.0]], "B": [[1.0]]}, _LAWS, 1000, 5.0, 0.1, seed=7)
 
 
 @query("mc_terminal")
@@ -277,15 +301,17 @@ def des_lindley(spark, sf_dir):
 
 @query("des_multi")
 def des_multi(spark, sf_dir):
-    return rounded(simulate.replicate_queues(spark, {"dist": "exponential", "scale": 1.0}, {"dist": "exponential", "scale": 1.6}, 2, 200.0, 40))
+    return rounded(simulate.replicate_queues(spark, {"dist": "exponential", "scale": 1.0}, {"dist": "exponential", "scale": 1.6}, 2, 200.0))
 
 
 @query("abm_in_place")
 def abm_in_place(spark, sf_dir):
-    return rounded(simulate.agents(spark, 49, 20, runs=8))
+    return rounded(simulate.agents(spark, runs=8))
 
 
-@query("abm_sync")
+@query("abm_sync", """WITH n AS (SELECT c_custkey AS id, CAST(c_acctbal AS DOUBLE) AS x FROM customer), e AS (SELECT a.id AS src, b.id AS dst FROM n a JOIN n b ON b.id = a.id + 1 UNION ALL SELECT b.id, a.id FROM n a JOIN n b ON b.id = a.id + 1),
+a AS (SELECT n.id, coalesce(m, x) AS x FROM n LEFT JOIN (SELECT src, avg(x) AS m FROM e JOIN n ON dst = id GROUP BY 1) ON src = id)
+SELECT a.id, round(coalesce(m, x), 6) AS x FROM a LEFT JOIN (SELECT src, avg(x) AS m FROM e JOIN a ON dst = id GROUP BY 1) ON src = a.id""")
 def abm_sync(spark, sf_dir):
     nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
     edges = nodes.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
@@ -300,7 +326,7 @@ def oat_sensitivity(spark, sf_dir):
 
 @query("sobol_indices")
 def sobol_indices(spark, sf_dir):
-    return rounded(simulate.sobol(spark, "a + 2*b + a*b", {"a": (0.0, 1.0), "b": (0.0, 1.0)}, 512))
+    return rounded(simulate.sobol(spark, "a + 2*b + a*b", {"a": (0.0, 1.0), "b": (0.0, 1.0)}))
 
 
 @query("morris_effects")
