@@ -144,7 +144,17 @@ def interval_quality(spark, sf_dir):
     return rounded(metrics.interval_quality(q, 0.95, "model"))
 
 
-@query("residual_diagnostics")
+@query("residual_diagnostics", f"""WITH {V_PRED}, r AS (SELECT series_id, t - 12 AS t, actual - predicted AS value FROM v_pred WHERE model = 'naive'),
+n AS (SELECT series_id, count(*) AS n, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM r GROUP BY 1), x AS (SELECT series_id, t, n, value - m AS x FROM r JOIN n USING (series_id)), v AS (SELECT series_id, sum(x * x) AS v FROM x GROUP BY 1),
+a AS (SELECT a.series_id, a.t - b.t AS lag, max(a.n) AS n, sum(a.x * b.x) AS s FROM x a JOIN x b ON a.series_id = b.series_id AND a.t - b.t BETWEEN 1 AND least(20, a.n // 3) GROUP BY 1, 2),
+c AS (SELECT series_id, count(*) FILTER (abs(s / v) > 2 / sqrt(n)) AS c FROM a JOIN v USING (series_id) GROUP BY 1),
+h AS (SELECT r.series_id, greatest(coalesce(stddev_samp(value) FILTER (t < n // 2), 0), 1e-12) / greatest(coalesce(stddev_samp(value) FILTER (t >= n // 2), 0), 1e-12) AS h FROM r JOIN n ON r.series_id = n.series_id GROUP BY 1),
+f AS (SELECT series_id, n, CASE WHEN s > 0 THEN abs(m) / (s / sqrt(n)) ELSE 'inf'::DOUBLE END AS b, CAST(c AS DOUBLE) AS c, h FROM n JOIN c USING (series_id) JOIN h USING (series_id)),
+g AS (SELECT series_id, 'residual_bias' AS "check", CASE WHEN b > 2.576 THEN 'FAIL' WHEN b > 1.96 THEN 'WARN' ELSE 'PASS' END AS verdict, CASE WHEN b > 2.576 THEN 'HIGH' WHEN b > 1.96 THEN 'MEDIUM' ELSE 'INFO' END AS severity, b AS value FROM f WHERE n >= 10
+UNION ALL SELECT series_id, 'residual_acf', CASE WHEN c > 0 THEN 'FAIL' ELSE 'PASS' END, CASE WHEN c > 0 THEN 'HIGH' ELSE 'INFO' END, c FROM f WHERE n >= 10
+UNION ALL SELECT series_id, 'residual_heteroscedasticity', CASE WHEN h > 2 OR h < 0.5 THEN 'WARN' ELSE 'PASS' END, CASE WHEN h > 2 OR h < 0.5 THEN 'MEDIUM' ELSE 'INFO' END, h FROM f WHERE n >= 10
+UNION ALL SELECT series_id, 'residuals', 'SKIP', 'INFO', NULL FROM f WHERE n < 10)
+SELECT series_id, 8 AS phase_no, 'residuals' AS phase, "check", verdict, severity, round(value, 6) AS value FROM g""")
 def residual_diagnostics(spark, sf_dir):
     rest = v_pred(spark, sf_dir).where("model = 'naive'").select("series_id", (F.col("t") - 12).alias("t"), (F.col("actual") - F.col("predicted")).alias("value"))
     return rounded(review.residuals(rest))
@@ -163,7 +173,13 @@ def overfit_screen(spark, sf_dir):
     return rounded(review.overfitting(p))
 
 
-@query("uncertainty_findings")
+@query("uncertainty_findings", f"""WITH {V_PRED}, q AS (SELECT series_id, actual AS a, predicted * 0.8 AS lo, predicted * 1.2 AS hi FROM v_pred WHERE model = 'seasonal'),
+s AS (SELECT series_id, count(*) AS n, avg(CASE WHEN a BETWEEN lo AND hi THEN 1.0::DOUBLE ELSE 0 END) AS c, avg(hi - lo) / (max(a) - min(a)) AS w, stddev_samp(hi - lo) / avg(hi - lo) AS v, avg(hi - lo + CASE WHEN a < lo THEN 2 / 0.05::DOUBLE * (lo - a) WHEN a > hi THEN 2 / 0.05::DOUBLE * (a - hi) ELSE 0 END) AS k FROM q GROUP BY 1),
+g AS (SELECT series_id, 'coverage' AS "check", CASE WHEN c - 0.95 < -0.10 THEN 'FAIL' WHEN c - 0.95 < -0.03 OR c - 0.95 > 0.10 THEN 'WARN' ELSE 'PASS' END AS verdict, CASE WHEN c - 0.95 < -0.10 THEN 'HIGH' WHEN c - 0.95 < -0.03 THEN 'MEDIUM' WHEN c - 0.95 > 0.10 THEN 'LOW' ELSE 'INFO' END AS severity, c AS value FROM s WHERE n >= 10
+UNION ALL SELECT series_id, 'interval_width', CASE WHEN w > 1 THEN 'WARN' ELSE 'PASS' END, CASE WHEN w > 1 THEN 'MEDIUM' ELSE 'INFO' END, w FROM s WHERE n >= 10
+UNION ALL SELECT series_id, 'interval_consistency', CASE WHEN v > 0.5 THEN 'WARN' ELSE 'PASS' END, CASE WHEN v > 0.5 THEN 'LOW' ELSE 'INFO' END, v FROM s WHERE n >= 20
+UNION ALL SELECT series_id, 'winkler_score', 'PASS', 'INFO', k FROM s WHERE n >= 10 UNION ALL SELECT series_id, 'uncertainty', 'SKIP', 'INFO', NULL FROM s WHERE n < 10)
+SELECT series_id, 9 AS phase_no, 'uncertainty' AS phase, "check", verdict, severity, round(value, 6) AS value FROM g""")
 def uncertainty_findings(spark, sf_dir):
     q = v_pred(spark, sf_dir).where("model = 'seasonal'").withColumns({"lo": F.col("predicted") * 0.8, "hi": F.col("predicted") * 1.2})
     return rounded(review.uncertainty(q))
