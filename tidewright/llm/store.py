@@ -29,9 +29,9 @@ from .encoding import WordEncoder
 #: Ids under the rolling hash, and chunk lengths: 1 in MEAN places is a cut.
 WINDOW, LEAST, MEAN, MOST = 16, 32, 256, 2048
 #: Text encoded at a time.
-GROUP_BYTES = 3_000_000
+GROUP_BYTES = 4_000_000
 #: Digests that a task remembers to have sent.
-SENT = 100_000
+SENT = 200_000
 DIGEST = 16
 
 
