@@ -28,8 +28,8 @@ from .encoding import WordEncoder
 
 #: Ids under the rolling hash, and chunk lengths: 1 in MEAN places is a cut.
 WINDOW, LEAST, MEAN, MOST = 16, 32, 256, 2048
-#: Text encoded at a time.
-GROUP_BYTES = 4_000_000
+#: Text encoded at a time, and words that the encoder holds: what a worker needs is about 90 MB and 30 bytes for each of the one and 250 for each of the other.
+GROUP_BYTES, WORDS = 4_000_000, 400_000
 #: Digests that a task remembers to have sent.
 SENT = 200_000
 DIGEST = 16
@@ -87,33 +87,34 @@ def cuts(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
 _ENCODERS: dict[tuple, WordEncoder] = {}
 
 
-def _encoder(path: str, lower: bool) -> WordEncoder:
-    if (path, lower) not in _ENCODERS:
-        _ENCODERS[path, lower] = WordEncoder(path, lower)
-    return _ENCODERS[path, lower]
+def _encoder(path: str, lower: bool, words: int) -> WordEncoder:
+    if (path, lower, words) not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[path, lower, words] = WordEncoder(path, lower, words, 8 * words)
+    return _ENCODERS[path, lower, words]
 
 
-def _groups(ids: list, texts: Iterator[bytes]) -> Iterator[tuple[list, list[bytes]]]:
+def _groups(ids: list, texts: Iterator[bytes], most: int) -> Iterator[tuple[list, list[bytes]]]:
     at, size, held = 0, 0, []
     for text in texts:
         held.append(text)
         size += len(text)
-        if size > GROUP_BYTES:
+        if size > most:
             yield ids[at : at + len(held)], held
             at, size, held = at + len(held), 0, []
     if held:
         yield ids[at:], held
 
 
-def _chunker(path: str, lower: bool, end_id: int, wide: bool):
+def _chunker(path: str, lower: bool, end_id: int, wide: bool, words: int = WORDS, at_once: int = GROUP_BYTES):
     form = np.dtype("<u4" if wide else "<u2")
 
     def chunk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, sent = _encoder(path, lower), set()
+        encode, sent = _encoder(path, lower, words), set()
         task = TaskContext.get()
         uid = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            for doc_ids, texts in _groups(batch.column(0).to_pylist(), each_text(batch.column(1))):
+            for doc_ids, texts in _groups(batch.column(0).to_pylist(), each_text(batch.column(1)), at_once):
                 got, counts = encode(texts)
                 counts = counts + 1
                 ends = np.r_[0, np.cumsum(counts)]
@@ -180,7 +181,7 @@ def check_manifest(spark: SparkSession, store: str) -> list:
     return said
 
 
-def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower: bool = False, wide: bool = False, doc_id: str = "doc_id", text: str = "text") -> str:
+def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower: bool = False, wide: bool = False, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, at_once: int = GROUP_BYTES) -> str:
     """Encodes every text, appends end_id and writes the store; returns its path.
 
     Null and empty texts are documents of end_id alone; columns other than doc_id and text are not
@@ -192,7 +193,7 @@ def write_store(docs: DataFrame, store: str, path: str, end_id: int = 2, lower:
     """
     spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    made = rows.mapInArrow(lean(_chunker(path, lower, end_id, wide)), "kind string, doc_id long, n_tokens long, digest binary, body binary, uid long")
+    made = rows.mapInArrow(lean(_chunker(path, lower, end_id, wide, words, at_once)), "kind string, doc_id long, n_tokens long, digest binary, body binary, uid long")
     # Chunks have no uid and go by their digest, of which one row stays; documents are dealt evenly and all stay.
     once = made.repartition(width, "kind", "digest", "uid").dropDuplicates(["kind", "digest", "uid"]).drop("uid")
     with settling(spark):
@@ -322,10 +323,11 @@ def read_store(spark: SparkSession, store: str) -> DataFrame:
     return out.select("doc_id", (F.col("base") + F.col("own")).alias("start"), whole.cast("long").alias("n_tokens"), "ids_crc32")
 
 
-def token_store(docs: DataFrame, path: str, end_id: int = 2, lower: bool = False, wide: bool = False, store: str | None = None) -> DataFrame:
+def token_store(docs: DataFrame, path: str, end_id: int = 2, lower: bool = False, wide: bool = False, store: str | None = None, words: int = WORDS, at_once: int = GROUP_BYTES) -> DataFrame:
     """Writes the store in a shared folder and returns what read_store finds there.
 
-    Empty input: an empty store and no rows. Other columns of docs are not read.
+    words and at_once bound what a worker holds, see WORDS; the ids are the same. Empty input: an
+    empty store and no rows. Other columns of docs are not read.
     """
     store = store or work_dir(docs.sparkSession)
-    return read_store(docs.sparkSession, write_store(docs, store, path, end_id, lower, wide))
+    return read_store(docs.sparkSession, write_store(docs, store, path, end_id, lower, wide, words=words, at_once=at_once))
