@@ -58,9 +58,10 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """doc_id, start, n_tokens, ids_crc32 as read back from the token store.
 
     In ascending doc_id order, null last; repeated rows are documents of their own, and a null or
-    empty text is one of its end id alone.
+    empty text is one of its end id alone. Workers hold fewer words than by default, as they have
+    served the other stages before.
     """
-    return token_store(docs, public_tokenizers.path("word_bpe_49k.json"), lower=True)
+    return token_store(docs, public_tokenizers.path("word_bpe_49k.json"), lower=True, words=150_000, at_once=1_500_000)
 
 
 STAGES = [
