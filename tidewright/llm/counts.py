@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
 from unicodedata import category
 
 import numpy as np
@@ -50,6 +51,7 @@ class _Model:
         return k if k and self.ends[k - 1] == at else -1
 
 
+@cache
 def parts_at_marks(path: str) -> bool:
     """Whether the tokenizer parts letters from the marks behind them before it merges anything: byte-level ones by their pattern."""
     if not path.endswith(".json"):
