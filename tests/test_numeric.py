@@ -269,3 +269,20 @@ def test_bridge(spark):
     out = spark.createDataFrame([("sd", {"is_stable": 1.0, "settling_time": 3.0}), ("mc", {"mean": 1.0, "std": 0.1})], "mode string, metrics map<string,double>")
     got = {r["mode"]: r.phase_5_inputs for r in simulate.bridge(out).collect()}
     assert got == {"sd": {"stability": 1.0, "settling": 3.0}, "mc": {"baseline_mean": 1.0, "baseline_std": 0.1}}
+
+
+def test_welch_density(spark):
+    rng, fs = np.random.default_rng(5), 1000.0
+    t = np.arange(4000)
+    tone = 2 * np.sin(2 * np.pi * 100 * t / fs) + rng.normal(0, 0.5, len(t))
+    rows = [("tone", int(i), float(x)) for i, x in zip(t, tone, strict=True)] + [("noise", int(i), float(x)) for i, x in zip(t, rng.normal(0, 3, len(t)), strict=True)] + [("short", i, 1.0 * i) for i in range(5)]
+    signals = spark.createDataFrame([*rows, ("tone", 9999, None), ("tone", 9998, float("nan"))], "series_id string, t long, value double")
+    got = {}
+    for r in spectral.welch_density(signals, fs).orderBy("series_id", "bin").collect():
+        got.setdefault(r.series_id, []).append((r.freq, r.psd))
+    assert got.keys() == {"tone", "noise"}
+    f, p = map(np.array, zip(*got["tone"], strict=True))
+    assert abs(f[p.argmax()] - 100) <= 5
+    assert p.sum() * f[1] == pytest.approx(2.25, rel=0.1)  # the variance: 2 of the tone and 0.25 of the noise
+    f, p = map(np.array, zip(*got["noise"], strict=True))
+    assert p.sum() * f[1] == pytest.approx(9.0, rel=0.1) and np.std(p[2:-2]) < 0.6 * p.mean()  # even, as segments are averaged

@@ -204,6 +204,23 @@ def welch_cross(x: np.ndarray, y: np.ndarray, fs: float, size: int) -> tuple[np.
     return np.fft.rfftfreq(size, 1 / fs), pxx, pyy, pxy
 
 
+def welch_density(signals: DataFrame, fs: float = 1.0, size: int = 0) -> DataFrame:
+    """series_id, n, bin, freq, psd of each signal of 8 values or more, averaged over half-overlapping segments.
+
+    size: values in a segment; 0: as many as transfer_function takes. Shorter signals are one segment.
+    """
+
+    def one(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        x = table["value"].to_numpy()
+        own = min(len(x), size or max(256, next_pow2(len(x) // 8)))
+        f, p, _, _ = welch_cross(x, x, fs, own) if len(x) >= 8 else (np.empty(0),) * 4
+        return pa.table({KEY: pa.array([table[KEY][0].as_py()] * len(f), pa.string()), "n": np.full(len(f), len(x)), "bin": np.arange(len(f)), "freq": f, "psd": p})
+
+    rows = signals.select(F.col(KEY).cast("string"), F.col("t").cast("long"), F.col("value").cast("double")).where("value is not null and not isnan(value) and abs(value) < double('infinity')")
+    return rows.groupBy(KEY).applyInArrow(one, "series_id string, n long, bin long, freq double, psd double")
+
+
 def transfer_function(pairs: DataFrame, fs: float = 1.0) -> DataFrame:
     """series_id, freq, gain_db, phase_deg, coherence of u (input) to y (output); signals of 64 values or more."""
 
