@@ -286,3 +286,19 @@ def test_welch_density(spark):
     assert p.sum() * f[1] == pytest.approx(2.25, rel=0.1)  # the variance: 2 of the tone and 0.25 of the noise
     f, p = map(np.array, zip(*got["noise"], strict=True))
     assert p.sum() * f[1] == pytest.approx(9.0, rel=0.1) and np.std(p[2:-2]) < 0.6 * p.mean()  # even, as segments are averaged
+
+
+def test_armax_grid(spark):
+    rng = np.random.default_rng(3)
+    n = 600
+    u, e, y = rng.normal(0, 1, n), rng.normal(0, 0.3, n), np.zeros(n)
+    for i in range(1, n):
+        y[i] = 0.6 * y[i - 1] + 0.5 * u[i - 1] + e[i] + 0.5 * e[i - 1]
+    pairs = spark.createDataFrame([("s", i, float(a), float(b)) for i, (a, b) in enumerate(zip(y, u, strict=True))], "series_id string, t long, y double, u double")
+    got = {(r.na, r.nb): r for r in sysid.armax_grid(pairs, [1, 2], [1, 2]).collect()}
+    # Two regressions only approximate the innovations, so the number of those may come out larger; that of outputs is found.
+    assert sorted(r["rank"] for r in got.values()) == [1, 2, 3, 4] and min(got.values(), key=lambda r: r["rank"]).na == 1
+    assert [r["rank"] for r in sorted(got.values(), key=lambda r: r.bic)] == [1, 2, 3, 4]
+    for (a, b), r in got.items():
+        assert r.k == a + b + 1 and r.bic == pytest.approx(r.n * math.log(r.rss / r.n) + r.k * math.log(r.n))
+        assert r.rss <= got[1, 1].rss * 1.01

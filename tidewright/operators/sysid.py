@@ -276,6 +276,17 @@ def armax(pairs: DataFrame, p: int, q: int, long: int = 20) -> DataFrame:
     return least_squares(rows, list(cols))
 
 
+def armax_grid(pairs: DataFrame, p: list[int], q: list[int], criterion: str = "bic", long: int = 20) -> DataFrame:
+    """series_id, family, na, nb, nk, n, k, rss, criteria and rank of all numbers of past outputs (na) and innovations (nb)."""
+    out = None
+    for a in p:
+        for b in q:
+            fit = armax(pairs, a, b, long).groupBy(KEY).agg(F.max("n").alias("n"), F.count("*").alias("k"), F.max("rss").alias("rss"))
+            fit = fit.select(KEY, F.lit("ARMAX").alias("family"), F.lit(a).alias("na"), F.lit(b).alias("nb"), F.lit(1).alias("nk"), "n", "k", "rss", *[c.alias(x) for x, c in info_criteria(F.col("n"), F.col("k"), F.col("rss")).items()])
+            out = fit if out is None else out.union(fit)
+    return rank_structures(out, criterion)
+
+
 def identifiability(pairs: DataFrame, coherence: DataFrame | None = None) -> DataFrame:
     """series_id, n, snr, verdict: is there enough signal to identify anything? coherence: series_id, coherence."""
     s = order.moving_average_snr(pairs.select(KEY, "t", F.col("y").alias("value")))
